@@ -1,4 +1,8 @@
 """All named queries, by area."""
 
-from facadelake.plans import q_rules  # noqa: F401
-from facadelake.plans.registry import ORACLES, QUERIES  # noqa: F401
+from facadelake.plans import q_geometry, q_rules, q_scoring  # noqa: F401
+from facadelake.plans.registry import ORACLES, QUERIES, with_views  # noqa: F401
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(body) for name, body in ORACLES.items()}

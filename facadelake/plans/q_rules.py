@@ -531,7 +531,7 @@ def _(t):
 @query(
     "f13_schema_defects",
     """SELECT defect_id, type, round(length_cm, 3) AS length_cm, round(width_mm, 3) AS width_mm, round(area_cm2 / 7, 3) AS area_cm2, severity_class,
-        round(vi / 7, 4) AS vi_contribution, round(confidence, 4) AS confidence_score, is_false_positive, round(fp_prob, 4) AS fp_confidence,
+        round(vi * 0.123456789::DOUBLE, 4) AS vi_contribution, round(confidence, 4) AS confidence_score, is_false_positive, round(fp_prob, 4) AS fp_confidence,
         CAST(centroid_x AS INT) AS x, CAST(centroid_y AS INT) AS y, 22.31::DOUBLE AS lat, 87.31::DOUBLE AS lon,
         CASE WHEN type = 'spalling' THEN round(area_cm2 / 7e4, 5) END AS delamination_area_m2 FROM scored_v""",
 )
@@ -540,7 +540,7 @@ def _(t):
         {
             "severity_class": r.severity4("width_mm"),
             "area_cm2": F.col("area_cm2") / 7.0,
-            "vi_contribution": r.defect_vi() / 7.0,
+            "vi_contribution": r.defect_vi() * 0.123456789,
             "confidence_score": F.col("confidence"),
             "fp_confidence": F.col("fp_prob"),
             "delamination_area_m2": g.delamination_m2("type", F.col("area_cm2") / 7.0),

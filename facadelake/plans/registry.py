@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = lambda spark, root: fn(Tables(spark, root))
         QUERIES[name].__doc__ = fn.__doc__
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return wrap
