@@ -78,9 +78,9 @@ def _(t):
     return facades(t).select("inspection_id", F.round("vi_score", 6).alias("vi_score"))
 
 
-@query("a2_zone_scores", "SELECT inspection_id, zone_id, round(zone_area_cm2, 4) AS zone_area_cm2, defect_count, zone_vi, dominant_defect_type FROM zone_v")
+@query("a2_zone_scores", "SELECT inspection_id, zone_id, zone_area_cm2, defect_count, zone_vi, dominant_defect_type FROM zone_v")
 def _(t):
-    return zones(t).withColumn("zone_area_cm2", F.round("zone_area_cm2", 4))
+    return zones(t)
 
 
 @query(
