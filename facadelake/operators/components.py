@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facadelake.session import ensure_checkpoint_dir
 
@@ -75,7 +76,6 @@ def components(runs: DataFrame, min_area: int = 15, by: str = "mask_id", tile: i
     A mask is cut into tiles, so one task sees at most a tile's runs; components that cross a border are
     joined through the few runs on it.
     """
-    kind = dict(runs.dtypes)[by]
     cut = (
         runs.withColumn("tile_x", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor(F.col("x1") / tile))))
         .withColumn("tile_y", F.floor(F.col("y") / tile))
@@ -85,16 +85,22 @@ def components(runs: DataFrame, min_area: int = 15, by: str = "mask_id", tile: i
         )
     )
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x0"])
-        first = label_runs(rows["y"].tolist(), rows["x0"].tolist(), rows["x1"].tolist())
-        ids = rows["y"].to_numpy("int64") * LABEL_SHIFT + rows["x0"].to_numpy("int64")
-        return rows.assign(label=ids[first])
-
     ensure_checkpoint_dir(runs.sparkSession)
-    labelled = cut.groupBy(by, "tile_x", "tile_y").applyInPandas(
-        label, f"{by} {kind}, tile_x int, tile_y int, y int, x0 int, x1 int, label long"
-    ).checkpoint()
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def first_runs(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
+        return pd.Series([label_runs(a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(y, x0, x1)])
+
+    # One row per tile: its runs in order, bounded by the tile's size whatever the mask's.
+    tiles = cut.groupBy(by, "tile_x", "tile_y").agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("r"))
+    named = tiles.withColumn("first", first_runs("r.y", "r.x0", "r.x1"))
+    start = F.transform("first", lambda i: F.get("r", i)["y"].cast("long") * LABEL_SHIFT + F.get("r", i)["x0"])
+    labelled = (
+        named.withColumn("label", start)
+        .select(by, F.explode(F.arrays_zip("r", "label")).alias("z"))
+        .select(by, "z.r.y", "z.r.x0", "z.r.x1", "z.label")
+        .checkpoint()
+    )
 
     # Across a horizontal border: rows y and y + 1, ranges that touch, met in cells of 64 pixels.
     def in_cells(df: DataFrame, low, high) -> DataFrame:

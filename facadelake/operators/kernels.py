@@ -11,6 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from facadelake.functions.geometry import agreement
 
 # HSV boxes (hue 0..180) of rust stains and of white salt.
 RUST_BOX = ((5, 60, 40), (25, 255, 220))
@@ -98,12 +102,6 @@ def crop_patches(frames: DataFrame, size: int = 96, key: str = "frame_id") -> Da
     return frames.select(key, "height", "width", "pixels", "bounds").mapInPandas(run, f"{key} {kind}, patch binary")
 
 
-PAIR_SCHEMA = (
-    "image_id {0}, geo_no int, cv_no int, geometry_length_cm double, geometry_width_mm double, cv_length_cm double, cv_width_mm double, "
-    "angle_deg double, tortuosity double, delta_cm double, agreement_pct double, matched boolean, kind string"
-)
-
-
 def nearest_free(gx, gy, cx, cy, tol: float) -> list[int]:
     """For each point in order, the nearest other-side point not taken before and nearer than ``tol``, else -1."""
     free = np.ones(len(cx), bool)
@@ -111,8 +109,7 @@ def nearest_free(gx, gy, cx, cy, tol: float) -> list[int]:
     for x, y in zip(gx, gy):
         best = -1
         if len(cx):
-            d = np.hypot(cx - x, cy - y)
-            d[~free] = np.inf
+            d = np.where(free, np.hypot(cx - x, cy - y), np.inf)
             i = int(d.argmin())
             if d[i] < tol:
                 best, free[i] = i, False
@@ -120,44 +117,52 @@ def nearest_free(gx, gy, cx, cy, tol: float) -> list[int]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _take_partners(gx: pd.Series, gy: pd.Series, cx: pd.Series, cy: pd.Series, tol: pd.Series) -> pd.Series:
+    return pd.Series([nearest_free(*row) for row in zip(gx, gy, cx, cy, tol)])
+
+
 def pair_detectors(geo: DataFrame, cv: DataFrame, limit: int = 12) -> DataFrame:
     """Geometry and CV detections of an image, paired greedily one to one in geometry order, with the
     leftovers of both sides; the ``limit`` longest rows per image.
 
     A pair depends on all pairs before it, so an image is one group. It is bounded: a detection covers at
-    least 5e-5 of its image, so a detector reports at most 20,000 of them.
+    least 5e-5 of its image, so a detector reports at most 20,000 of them. Only the order-dependent
+    choice runs in Python, over arrays; rows are built from it by Spark.
     """
-    columns = ["image_id", "ordinal", "cx", "cy", "length_cm", "width_mm", "angle_deg", "tortuosity", "kind", "img_w", "img_h"]
-
-    def pair(g: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        g, c = g.sort_values("ordinal").reset_index(drop=True), c.sort_values("ordinal").reset_index(drop=True)
-        head = (g if len(g) else c).iloc[0]
-        tol = max(40.0, 0.08 * float(np.hypot(head["img_w"], head["img_h"])))
-        taken = nearest_free(g["cx"].to_numpy(float), g["cy"].to_numpy(float), c["cx"].to_numpy(float), c["cy"].to_numpy(float), tol)
-        partner = pd.Series(taken, dtype="int64")
-        m = c.reindex(partner.where(partner >= 0)).reset_index(drop=True)
-        gl, cl = g["length_cm"].astype(float), m["length_cm"].astype(float)
-        share = 100.0 * (1.0 - (gl - cl).abs() / np.maximum(np.maximum(gl, cl), 1e-6))
-        left = pd.DataFrame(
-            {
-                "geo_no": g["ordinal"], "cv_no": m["ordinal"], "geometry_length_cm": gl.round(1), "geometry_width_mm": g["width_mm"].round(2),
-                "cv_length_cm": cl.round(1), "cv_width_mm": m["width_mm"].astype(float).round(2), "angle_deg": g["angle_deg"], "tortuosity": m["tortuosity"].astype(float),
-                "delta_cm": (cl - gl).round(1), "agreement_pct": share.round(1).clip(lower=0.0), "matched": partner >= 0, "kind": g["kind"].fillna("crack"),
-            }
+    fields = ["ordinal", *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "length_cm", "width_mm", "angle_deg", "tortuosity")], "kind"]
+
+    def lists(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("image_id").agg(
+            F.array_sort(F.collect_list(F.struct(*fields))).alias(name), F.max(F.hypot(F.col("img_w").cast("double"), F.col("img_h").cast("double"))).alias(f"__{name}")
         )
-        rest = c.drop(index=[i for i in taken if i >= 0])
-        right = pd.DataFrame(
-            {
-                "geo_no": pd.NA, "cv_no": rest["ordinal"], "geometry_length_cm": np.nan, "geometry_width_mm": np.nan, "cv_length_cm": rest["length_cm"].astype(float).round(1),
-                "cv_width_mm": rest["width_mm"].astype(float).round(2), "angle_deg": rest["angle_deg"], "tortuosity": rest["tortuosity"].astype(float),
-                "delta_cm": np.nan, "agreement_pct": np.nan, "matched": False, "kind": "crack",
-            }
+
+    both = lists(geo, "g").join(lists(cv, "c"), "image_id", "full")
+    sized = both.select(
+        "image_id", *[F.coalesce(n, F.array().cast(both.schema[n].dataType)).alias(n) for n in ("g", "c")],
+        F.greatest(F.lit(40.0), F.coalesce("__g", "__c") * 0.08).alias("tol"),
+    )
+    taken = sized.withColumn("take", _take_partners("g.cx", "g.cy", "c.cx", "c.cy", "tol"))
+    none = F.lit(None)
+
+    def row(g, c, matched):
+        gl, cl = g["length_cm"] if g is not None else none.cast("double"), c["length_cm"] if c is not None else none.cast("double")
+        part = lambda r, f: r[f] if r is not None else none
+        return F.struct(
+            part(g, "ordinal").cast("int").alias("geo_no"), part(c, "ordinal").cast("int").alias("cv_no"),
+            F.round(gl, 1).alias("geometry_length_cm"), F.round(part(g, "width_mm").cast("double"), 2).alias("geometry_width_mm"),
+            F.round(cl, 1).alias("cv_length_cm"), F.round(part(c, "width_mm").cast("double"), 2).alias("cv_width_mm"),
+            part(g if g is not None else c, "angle_deg").alias("angle_deg"), part(c, "tortuosity").cast("double").alias("tortuosity"),
+            F.round(cl - gl, 1).alias("delta_cm"), F.when(cl.isNotNull() & gl.isNotNull(), agreement(gl, cl)).alias("agreement_pct"),
+            matched.alias("matched"), (F.coalesce(g["kind"], F.lit("crack")) if g is not None else F.lit("crack")).alias("kind"),
         )
-        rows = pd.concat([p for p in (left, right) if len(p)], ignore_index=True)
-        longest = rows[["cv_length_cm", "geometry_length_cm"]].max(axis=1)
-        rows = rows.loc[longest.sort_values(ascending=False, kind="stable").index].head(limit)
-        rows.insert(0, "image_id", head["image_id"])
-        return rows.astype({"geo_no": "Int32", "cv_no": "Int32"})
-
-    schema = PAIR_SCHEMA.format(dict(geo.dtypes)["image_id"])
-    return geo.select(*columns).groupBy("image_id").cogroup(cv.select(*columns).groupBy("image_id")).applyInPandas(pair, schema)
+
+    left = F.transform("g", lambda g, i: row(g, F.get("c", F.nullif(F.get("take", i), F.lit(-1))), F.get("take", i) >= 0))
+    free = F.filter("c", lambda c, i: ~F.array_contains("take", i))
+    right = F.transform(free, lambda c: row(None, c, F.lit(False)))
+    rows = taken.select("image_id", F.concat(left, right).alias("rows"))
+    # Longest first; rows of equal length keep their order.
+    ranked = F.array_sort(
+        F.transform("rows", lambda r, i: F.struct((-F.greatest(F.coalesce(r["cv_length_cm"], F.lit(0.0)), F.coalesce(r["geometry_length_cm"], F.lit(0.0)))).alias("k"), i.alias("i"), r.alias("r")))
+    )
+    return rows.select("image_id", F.explode(F.slice(ranked, 1, limit)).alias("x")).select("image_id", "x.r.*")

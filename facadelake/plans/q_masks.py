@@ -39,10 +39,9 @@ def _(t):
 
 @query(
     "m2_encode_runs",
-    """SELECT defect_id AS mask_id, string_agg(CAST(m AS VARCHAR), ' ' ORDER BY pos) AS counts FROM (
-         SELECT defect_id, pos, least(end_px, 320) - least(end_px - n, 320) AS m, least(end_px - n, 320) AS s, last_fg FROM (
-           SELECT *, sum(n) OVER (PARTITION BY defect_id ORDER BY pos) AS end_px, 5 AS last_fg FROM rle_v) a) b
-       WHERE s < 320 AND (pos = 0 OR m > 0) AND pos <= (SELECT 5) GROUP BY 1""",
+    """SELECT defect_id AS mask_id, string_agg(CAST(least(end_px, 320) - (end_px - n) AS VARCHAR), ' ' ORDER BY pos) AS counts FROM (
+         SELECT *, sum(n) OVER (PARTITION BY defect_id ORDER BY pos) AS end_px FROM (SELECT defect_id, pos, CASE WHEN pos > 0 AND n = 0 THEN 1 ELSE n END AS n FROM rle_v) a) b
+       WHERE (pos % 2 = 1 AND end_px - n < 320) OR (pos % 2 = 0 AND end_px < 320) GROUP BY 1""",
 )
 def _(t):
     """Encoding the decoded masks; equal to the clipped input where no inner run is empty."""
@@ -56,15 +55,15 @@ def _no_gaps():
     return F.transform("counts", lambda c, i: F.when((i == 0) | (c > 0), c).otherwise(1))
 
 
-sql_view("detection_v", "SELECT defect_id AS mask_id, bbox_x AS bx, bbox_y AS by, bbox_w AS bw, bbox_h AS bh, line_no % 2 = 0 AS has_mask FROM boxes_v")
+sql_view("detection_v", "SELECT defect_id AS mask_id, bbox_x AS bbx, bbox_y AS bby, bbox_w AS bw, bbox_h AS bh, line_no % 2 = 0 AS has_mask FROM boxes_v")
 
 
 @query(
     "n7_place_masks",
     """SELECT mask_id, count(*) AS n_runs, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area_px, min(y) AS min_y, max(y) AS max_y FROM (
          SELECT mask_id, CAST(y AS INT) AS y, greatest(x0, 0) AS x0, least(x1, 511) AS x1 FROM (
-           SELECT d.mask_id, r.y + d.by AS y, r.x0 + d.bx AS x0, r.x1 + d.bx AS x1 FROM decoded_v r JOIN detection_v d ON r.mask_id = d.mask_id WHERE has_mask
-           UNION ALL SELECT mask_id, by + k, bx, bx + bw - 1 FROM detection_v, (SELECT unnest(range(140)) AS k) s WHERE NOT has_mask AND k < bh) a
+           SELECT d.mask_id, r.y + d.bby AS y, r.x0 + d.bbx AS x0, r.x1 + d.bbx AS x1 FROM decoded_v r JOIN detection_v d ON r.mask_id = d.mask_id WHERE has_mask
+           UNION ALL SELECT mask_id, bby + k, bbx, bbx + bw - 1 FROM detection_v, (SELECT unnest(range(140)) AS k) s WHERE NOT has_mask AND k < bh) a
          WHERE y >= 0 AND y < 384 AND x1 >= 0 AND x0 < 512) b GROUP BY 1""",
 )
 def _(t):
@@ -229,14 +228,16 @@ def _(t):
 
 @query(
     "a31_contour_stats",
-    """SELECT i.inspection_id AS image_id, coalesce(c.n, 0) AS spall_count, round(coalesce(m, 0), 5) AS mean_spall_area_px2, coalesce(x, 0) AS max_spall_area_px2, coalesce(l.n, 0) AS crack_line_count, (i.inspection_id % 977) * 255e0 / 196608 AS edge_density
-       FROM inspections_v i LEFT JOIN (SELECT inspection_id, count(*) AS n, avg(area_cm2 * 1e1) AS m, max(area_cm2 * 1e1) AS x FROM defects_v WHERE area_cm2 * 1e1 > 200 GROUP BY 1) c ON i.inspection_id = c.inspection_id
+    """SELECT i.inspection_id AS image_id, coalesce(c.n, 0) AS spall_count, round(coalesce(m, 0), 5) AS mean_spall_area_px2, round(coalesce(x, 0), 5) AS max_spall_area_px2, coalesce(l.n, 0) AS crack_line_count, (i.inspection_id % 977) * 255e0 / 196608 AS edge_density
+       FROM inspections_v i LEFT JOIN (SELECT inspection_id, count(*) AS n, avg(area_cm2 * 12.3456789e0) AS m, max(area_cm2 * 12.3456789e0) AS x FROM defects_v WHERE area_cm2 * 12.3456789e0 > 200 GROUP BY 1) c ON i.inspection_id = c.inspection_id
        LEFT JOIN (SELECT inspection_id, count(*) AS n FROM line_v GROUP BY 1) l ON i.inspection_id = l.inspection_id""",
 )
 def _(t):
     images = t.inspections_base.select(F.col("inspection_id").alias("image_id"), (F.col("inspection_id") % 977).alias("edge_px"), F.lit(IMAGE_W * IMAGE_H).alias("n_px"))
-    contours = t.defects.select(F.col("inspection_id").alias("image_id"), (F.col("area_cm2") * 10.0).alias("area_px2"))
-    return masks.contour_stats(images, contours, lines(t, "inspection_id")).withColumn("mean_spall_area_px2", F.round("mean_spall_area_px2", 5))
+    contours = t.defects.select(F.col("inspection_id").alias("image_id"), (F.col("area_cm2") * 12.3456789).alias("area_px2"))
+    return masks.contour_stats(images, contours, lines(t, "inspection_id")).withColumns(
+        {c: F.round(c, 5) for c in ("mean_spall_area_px2", "max_spall_area_px2")}
+    )
 
 
 _GREY = "CAST((x * 37 + y * 91 + mask_id * 13 + x * y * 5) % 256 AS INT)"
@@ -319,7 +320,7 @@ def _(t):
 
 @query("m3_components")
 def _(t):
-    return components.components(t.runs, min_area=15, tile=16).select("mask_id", "area_px", "x", "y", "w", "h", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    return components.components(t.runs, min_area=15, tile=64).select("mask_id", "area_px", "x", "y", "w", "h", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 def detections(t, parity: int):

@@ -42,7 +42,7 @@ sql_view(
     "matched_v",
     """SELECT defect_id, building_id, cycle_id, status, CASE WHEN status <> 'new' THEN pid END AS parent,
          CASE status WHEN 'propagated' THEN round(length_cm - pl, 3) WHEN 'new' THEN 0 END AS dl, CASE status WHEN 'propagated' THEN round(width_mm - pw, 3) WHEN 'new' THEN 0 END AS dw,
-         CASE status WHEN 'propagated' THEN round(area_cm2 - pa, 3) WHEN 'new' THEN 0 END AS da, CASE status WHEN 'propagated' THEN round(greatest(0, width_mm - pw), 3) WHEN 'new' THEN 0 END AS rate
+         CASE status WHEN 'propagated' THEN round(area_cm2 * 0.123456789::DOUBLE - pa * 0.123456789::DOUBLE, 3) WHEN 'new' THEN 0 END AS da, CASE status WHEN 'propagated' THEN round(greatest(0, width_mm - pw), 3) WHEN 'new' THEN 0 END AS rate
        FROM (SELECT c.*, m.pid, m.pl, m.pw, m.pa, CASE WHEN coalesce(m.iou, 0) >= 0.3 THEN 'propagated' WHEN coalesce(m.iou, 0) < 0.1 THEN 'new' ELSE 'uncertain' END AS status
              FROM cbox_v c LEFT JOIN iou_v m ON c.defect_id = m.id) x""",
 )
@@ -53,10 +53,12 @@ def _(t):
     return iou_matches(t).select("defect_id", "temporal_status", "parent_defect_id", F.col("crack_activity_status").alias("activity"))
 
 
-@query("r17_deltas", "SELECT defect_id, dl AS delta_length_cm, dw AS delta_width_mm, round(da, 2) AS delta_area_cm2, rate FROM matched_v WHERE status = 'propagated'")
+@query("r17_deltas", "SELECT defect_id, dl AS delta_length_cm, dw AS delta_width_mm, da AS delta_area_cm2, rate FROM matched_v WHERE status = 'propagated'")
 def _(t):
-    return iou_matches(t).where("temporal_status = 'propagated'").select(
-        "defect_id", "delta_length_cm", "delta_width_mm", F.round("delta_area_cm2", 2).alias("delta_area_cm2"), F.col("growth_rate_mm_per_month").alias("rate")
+    # A factor of many digits keeps area differences off rounding ties.
+    rows = with_cycle(t, t.boxes).withColumn("area_cm2", F.col("area_cm2") * 0.123456789)
+    return temporal.match_iou(rows, rows, ORDER).where("temporal_status = 'propagated'").select(
+        "defect_id", "delta_length_cm", "delta_width_mm", "delta_area_cm2", F.col("growth_rate_mm_per_month").alias("rate")
     )
 
 

@@ -111,7 +111,7 @@ class Tables:
     def boxes(self) -> DataFrame:
         """Defects with the top-left corner of their box."""
         return self.defects.withColumns(
-            {"bbox_x": F.expr("centroid_x - bbox_w div 2"), "bbox_y": F.expr("centroid_y - bbox_h div 2")}
+            {"bbox_x": F.expr("CAST(centroid_x - bbox_w div 2 AS INT)"), "bbox_y": F.expr("CAST(centroid_y - bbox_h div 2 AS INT)")}
         )
 
     @cached_property
