@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 EXTENSIONS = (".jpg", ".jpeg", ".dng", ".tiff", ".tif", ".png")
 
 
-def list_frames(spark: SparkSession, root: str, exts: tuple[str, ...] = EXTENSIONS, recursive: bool = False) -> DataFrame:
-    """Files of a folder by extension, whatever its case, in name order. Contents are read only where a
-    later step asks for them."""
+def list_frames(spark: SparkSession, root: str, exts: tuple[str, ...] = EXTENSIONS, recursive: bool = False,
+                with_content: bool = False) -> DataFrame:
+    """Files of a folder by extension, whatever its case, in name order. Contents are read only on request."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return (
         files.where(ext.isin(*exts))
-        .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("path").alias("filepath"), "length", "modificationTime", "content")
+        .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("path").alias("filepath"), "length", "modificationTime", *(["content"] if with_content else []))
         .orderBy("filename", "filepath")
     )
 
@@ -44,10 +44,10 @@ def merge_frame_tags(primary: DataFrame, secondary: DataFrame, key: str = "frame
 TEXT_TAGS = {"timestamp", "filename", "filepath", "camera_model"}
 
 
-def flight_batch(spark: SparkSession, root: str) -> DataFrame:
+def flight_batch(spark: SparkSession, root: str, exts: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """Frames of all flights below ``root``, one flight per subfolder; frames directly in a root without
     subfolders are one flight of its own name."""
-    frames = list_frames(spark, root, recursive=True)
+    frames = list_frames(spark, root, exts, recursive=True)
     clean = root.rstrip("/")
     inside = F.regexp_extract("filepath", "/" + _escape(clean.rsplit("/", 1)[-1]) + "/(.*)$", 1)
     nested = F.size(F.split(inside, "/")) > 1
