@@ -81,27 +81,34 @@ def _broken(text: Column, kind: str, bound) -> Column:
 def check_documents(documents: DataFrame, key: str, column: str = "json") -> DataFrame:
     """One row per broken rule: key, level, rule and field."""
     objects = document_objects(documents, key, column).withColumn("keys", F.json_object_keys("json"))
-    result = None
+    result = objects.where("level = 'root' AND keys IS NULL").select(
+        key, "level", F.lit("malformed").alias("rule"), F.lit("").alias("field")
+    )
     for level, required in REQUIRED.items():
-        rows = objects.where(F.col("level") == level)
+        rows = objects.where((F.col("level") == level) & F.col("keys").isNotNull()).withColumn("o", F.from_json("json", _text_schema(level)))
         have = F.array(*[F.lit(k) for k in required])
         allowed = F.array(*[F.lit(k) for k in [*required, *OPTIONAL[level]]])
-
-        def note(rule: str, field: Column) -> Column:
-            return F.struct(F.lit(rule).alias("rule"), field.alias("field"))
-
         missing = F.transform(F.array_except(have, "keys"), lambda k: F.struct(F.lit("required").alias("rule"), k.alias("field")))
         unknown = F.transform(F.array_except("keys", allowed), lambda k: F.struct(F.lit("unknown key").alias("rule"), k.alias("field")))
         fields = []
         for name, kind, bound in FIELD_RULES[level]:
-            text = F.get_json_object("json", f"$.{name}")
-            fields.append(F.when(text.isNotNull() & _broken(text, kind, bound), note(kind, F.lit(name))))
+            text = F.col(f"o.{name}")
+            note = F.struct(F.lit(kind).alias("rule"), F.lit(name).alias("field"))
+            fields.append(F.when(text.isNotNull() & _broken(text, kind, bound), note))
         found = rows.select(key, "level", F.explode(F.concat(missing, unknown, F.array_compact(F.array(*fields)))).alias("v")).select(key, "level", "v.*")
-        result = found if result is None else result.unionByName(found)
-    unreadable = documents.where(F.try_parse_json(F.col(column)).isNull()).select(
-        key, F.lit("root").alias("level"), F.lit("malformed").alias("rule"), F.lit("").alias("field")
-    )
-    return result.unionByName(unreadable)
+        result = result.unionByName(found)
+    return result
+
+
+def _text_schema(level: str) -> str:
+    """All checked fields of a level as text, so that one parse serves every rule."""
+    flat = [name for name, _, _ in FIELD_RULES[level] if "." not in name]
+    nested: dict[str, list[str]] = {}
+    for name, _, _ in FIELD_RULES[level]:
+        if "." in name:
+            nested.setdefault(name.split(".")[0], []).append(name.split(".")[1])
+    parts = [f"{n}:string" for n in flat] + [f"{k}:struct<{','.join(f'{f}:string' for f in v)}>" for k, v in nested.items()]
+    return f"struct<{','.join(parts)}>"
 
 
 def violations(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -9,7 +9,7 @@ DETECTION = (
     "struct<defect_id:string,defect_type:string,confidence:double,bbox:struct<x:int,y:int,width:int,height:int>,"
     "mask:string,mask_encoding:string,mask_shape:array<int>>"
 )
-RESPONSE = f"struct<status:string,error_message:string,image_height_px:int,image_width_px:int,detections:array<{DETECTION}>>"
+RESPONSE = f"struct<status:string,error_message:string,image_height_px:int,image_width_px:int,detections:array<{DETECTION}>,_bad:string>"
 
 
 def parse_responses(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -17,12 +17,12 @@ def parse_responses(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
     One bad detection rejects its whole response.
     """
-    r = F.from_json(column, RESPONSE)
+    r = F.from_json(column, RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     incomplete = F.exists(
         "r.detections", lambda d: d["defect_id"].isNull() | d["defect_type"].isNull() | d["confidence"].isNull() | d["bbox"].isNull()
     )
     reason = (
-        F.when(F.col("r").isNull(), "malformed")
+        F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "malformed")
         .when(F.col("r.status").isNull() | F.col("r.detections").isNull(), "missing keys")
         .when(F.col("r.status") != "success", F.concat(F.lit("status: "), F.coalesce("r.error_message", F.lit("Unknown error"))))
         .when(incomplete, "incomplete detection")
