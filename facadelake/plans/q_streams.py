@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facadelake.functions import rules as r
+from facadelake.operators.reports import document_parts
 from facadelake.plans.q_scoring import facades, scored
 from facadelake.plans.q_temporal import with_cycle
 from facadelake.plans.registry import query
@@ -98,7 +99,8 @@ def _(t):
 def _(t):
     """Documents of every inspection, each delivered twice, streamed into a store and read back."""
     record = F.struct("defect_id", "type", "width_mm", "area_cm2", F.when(F.col("line_no") % 2 == 1, 0.5).alias("growth_acceleration"))
-    lists = scored(t).groupBy("inspection_id").agg(F.array_sort(F.collect_list(record)).alias("defects"))
+    parts = document_parts(scored(t), ["inspection_id"], 8)
+    lists = parts.groupBy("inspection_id", "part").agg(F.array_sort(F.collect_list(record)).alias("defects"))
     heads = facades(t).select(
         "inspection_id", "building_id", F.col("inspection_date").cast("string").alias("inspection_date"), "vi_score", r.vi_class("vi_score", "name").alias("vi_class"),
         F.explode(F.array(F.lit("2024-01-01T00:00:00Z"), F.lit("2024-01-02T00:00:00Z"))).alias("run_timestamp"),

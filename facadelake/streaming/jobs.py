@@ -122,15 +122,20 @@ def request_metrics(requests: DataFrame, window: str, late: str = "10 minutes",
 
 def ingest_inspections(documents: DataFrame, store_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Inspection documents into the store. Late and repeated deliveries meet their own key: the latest of
-    a batch counts, and a batch that is run again changes nothing."""
+    a batch counts, and a batch that is run again changes nothing. A large inspection may come as several
+    documents of one run, told apart by ``part``."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             heads = batch.select("inspection_id", "building_id", "inspection_date", "vi_score", "vi_class", "run_timestamp")
-            # Of repeated deliveries only the latest document's defects are kept.
-            newest = batch.groupBy("inspection_id").agg(F.max_by(F.struct("building_id", "defects"), "run_timestamp").alias("d"))
-            rows = newest.select("inspection_id", "d.building_id", F.explode("d.defects").alias("x")).select("inspection_id", "building_id", "x.*")
+            # Of repeated deliveries only the latest run's documents are kept.
+            runs = batch.groupBy("inspection_id").agg(F.max("run_timestamp").alias("run_timestamp"))
+            newest = batch.join(runs, ["inspection_id", "run_timestamp"])
+            if "part" not in newest.columns:
+                newest = newest.withColumn("part", F.lit(0))
+            rows = newest.dropDuplicates(["inspection_id", "part"]).select("inspection_id", "building_id", F.explode("defects").alias("x"))
+            rows = rows.select("inspection_id", "building_id", "x.*")
             apply_batch(batch.sparkSession, store_path, heads, rows, batch_id)
         finally:
             batch.unpersist()
