@@ -19,7 +19,7 @@ from facadelake.functions import rules as r
 BOX = ["bbox_x", "bbox_y", "bbox_w", "bbox_h"]
 
 
-def _cells(low, high, cell: int):
+def _cells(low, high, cell: float):
     return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
 
@@ -112,12 +112,13 @@ def match_centroid(current: DataFrame, previous: DataFrame, order: Sequence[str]
                    months: float = DEFAULTS.elapsed_months) -> DataFrame:
     """Nearest earlier defect of the same type within ``tol_px``; unmatched rows keep zero growth.
 
-    Cells are as wide as the tolerance, so the 3x3 block round a point holds every candidate.
+    Cells are twice as wide as the tolerance: a parent reaches at most two of them along an axis, and a
+    point looks into its own.
     """
     keys = [*by, cycle, "type"]
     elapsed = max(months, 0.001)
     rate = F.col("growth_rate_mm_per_month") if "growth_rate_mm_per_month" in previous.columns else F.lit(0.0)
-    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    cell = 2.0 * tol_px
     parents = (
         previous.withColumn(cycle, F.col(cycle) + 1)
         .withColumn("__rate", rate)
@@ -127,17 +128,14 @@ def match_centroid(current: DataFrame, previous: DataFrame, order: Sequence[str]
                 F.struct(F.struct(*order).alias("place"), F.col("defect_id"), F.col("width_mm"), F.col("__rate").alias("rate")), F.struct(*order)
             ).alias("parent")
         )
-        .withColumn("dx", near)
-        .withColumn("dy", near)
-        .withColumn("cell_x", F.floor(F.col("p_x") / tol_px) + F.col("dx"))
-        .withColumn("cell_y", F.floor(F.col("p_y") / tol_px) + F.col("dy"))
-        .drop("dx", "dy")
+        .withColumn("cell_x", _cells(F.col("p_x") - tol_px, F.col("p_x") + tol_px, cell))
+        .withColumn("cell_y", _cells(F.col("p_y") - tol_px, F.col("p_y") + tol_px, cell))
     )
     points = (
         current.select(*keys, "centroid_x", "centroid_y")
         .distinct()
-        .withColumn("cell_x", F.floor(F.col("centroid_x") / tol_px))
-        .withColumn("cell_y", F.floor(F.col("centroid_y") / tol_px))
+        .withColumn("cell_x", F.floor(F.col("centroid_x") / cell))
+        .withColumn("cell_y", F.floor(F.col("centroid_y") / cell))
     )
     gap_x, gap_y = F.col("centroid_x") - F.col("p_x"), F.col("centroid_y") - F.col("p_y")
     pairs = (
