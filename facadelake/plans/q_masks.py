@@ -247,7 +247,7 @@ sql_view("grey_v", f"SELECT *, {_GREY} // 8 AS level FROM pixels_v")
 @query(
     "m5_cooccurrence",
     """SELECT mask_id, CAST(angle AS INT) AS angle, round(sum(p * (i - j) ** 2), 6) AS contrast, round(sum(p / (1 + (i - j) ** 2)), 6) AS homogeneity, round(sqrt(sum(p * p)), 6) AS energy,
-         round((sum(p * i * j) - sum(p * i) * sum(p * j)) / sqrt((sum(p * i * i) - sum(p * i) ** 2) * (sum(p * j * j) - sum(p * j) ** 2)), 6) AS correlation
+         round(CASE WHEN sum(p * i * i) - sum(p * i) ** 2 < 1e-12 THEN 1 ELSE (sum(p * i * j) - sum(p * i) * sum(p * j)) / sqrt((sum(p * i * i) - sum(p * i) ** 2) * (sum(p * j * j) - sum(p * j) ** 2)) END, 6) AS correlation
        FROM (SELECT mask_id, angle, i, j, count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY mask_id, angle) AS p FROM (
          SELECT mask_id, angle, unnest([li, lj]) AS i, unnest([lj, li]) AS j FROM (
            SELECT a.mask_id, o.angle, a.level AS li, b.level AS lj FROM grey_v a, (VALUES (0, 1, 0), (45, 1, 1), (90, 0, 1), (135, -1, 1)) AS o(angle, dx, dy), grey_v b
