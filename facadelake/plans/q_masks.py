@@ -295,9 +295,23 @@ def text_frames(t, width: int = 32):
     return t.raw("documents").select(F.col("doc_id").alias("frame_id"), height.alias("height"), F.lit(width).alias("width"), F.rpad(raw, height * width, F.lit(b" ")).alias("pixels"))
 
 
-@query("m1_frame_quality")
+sql_view(
+    "grey_px_v",
+    """SELECT doc_id, CAST(i // 32 AS INT) AS y, CAST(i % 32 AS INT) AS x, CAST(CASE WHEN i < n THEN ('0x' || substr(h, 2 * i + 1, 2))::INT ELSE 32 END AS DOUBLE) AS v
+       FROM (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents) d, LATERAL (SELECT unnest(range(CAST(greatest(ceil(n / 32.0), 1) * 32 AS BIGINT))) AS i) p""",
+)
+
+
+@query(
+    "m1_frame_quality",
+    """SELECT doc_id AS frame_id, round(var_pop(l), 4) AS laplacian_variance, round(avg(v), 6) AS mean_intensity FROM (
+         SELECT doc_id, v, coalesce(w, e) + coalesce(e, w) + coalesce(n, s, v) + coalesce(s, n, v) - 4 * v AS l FROM (
+           SELECT doc_id, v, lag(v) OVER r AS w, lead(v) OVER r AS e, lag(v) OVER c AS n, lead(v) OVER c AS s FROM grey_px_v
+           WINDOW r AS (PARTITION BY doc_id, y ORDER BY x), c AS (PARTITION BY doc_id, x ORDER BY y)) a) b GROUP BY 1""",
+)
 def _(t):
-    return kernels.frame_quality(text_frames(t))
+    out = kernels.frame_quality(text_frames(t))
+    return out.select("frame_id", F.round("laplacian_variance", 4).alias("laplacian_variance"), F.round("mean_intensity", 6).alias("mean_intensity"))
 
 
 @query("m4_colour_cues")
@@ -318,7 +332,21 @@ def _(t):
     return kernels.crop_patches(boxed, 24).select("frame_id", F.sha2("patch", 256).alias("patch_hash"))
 
 
-@query("m3_components")
+# Reachability over touching runs; a mask of the test tables has few runs.
+sql_view("run_id_v", "SELECT *, row_number() OVER (ORDER BY mask_id, y, x0) AS id FROM runs_v")
+sql_view(
+    "touch_v",
+    "SELECT a.id AS a, b.id AS b FROM run_id_v a JOIN run_id_v b ON a.mask_id = b.mask_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.id <> b.id AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1",
+)
+sql_view("reach_v", "WITH RECURSIVE w(a, b) AS (SELECT id, id FROM run_id_v UNION SELECT w.a, t.b FROM w JOIN touch_v t ON w.b = t.a) SELECT a, min(b) AS root FROM w GROUP BY a")
+
+
+@query(
+    "m3_components",
+    """SELECT mask_id, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area_px, min(x0) AS x, min(y) AS y, max(x1) - min(x0) + 1 AS w, max(y) - min(y) + 1 AS h,
+         round(sum((x1 - x0 + 1) * (x0 + x1) / 2) / sum(x1 - x0 + 1), 6) AS cx, round(sum((x1 - x0 + 1) * y * 1e0) / sum(x1 - x0 + 1), 6) AS cy
+       FROM run_id_v r JOIN reach_v q ON r.id = q.a GROUP BY mask_id, root HAVING sum(x1 - x0 + 1) >= 15""",
+)
 def _(t):
     return components.components(t.runs, min_area=15, tile=64).select("mask_id", "area_px", "x", "y", "w", "h", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
