@@ -297,21 +297,22 @@ def text_frames(t, width: int = 32):
 
 sql_view(
     "grey_px_v",
-    """SELECT doc_id, CAST(i // 32 AS INT) AS y, CAST(i % 32 AS INT) AS x, CAST(CASE WHEN i < n THEN ('0x' || substr(h, 2 * i + 1, 2))::INT ELSE 32 END AS DOUBLE) AS v
-       FROM (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents) d, LATERAL (SELECT unnest(range(CAST(greatest(ceil(n / 32.0), 1) * 32 AS BIGINT))) AS i) p""",
+    """SELECT doc_id, CAST(i // 32 AS INT) AS y, CAST(i % 32 AS INT) AS x, CAST(('0x' || b)::INT AS DOUBLE) AS v
+       FROM (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS b, unnest(range(CAST(len(h) // 2 AS BIGINT))) AS i
+             FROM (SELECT doc_id, rpad(hex(encode(text)), CAST(greatest(ceil(octet_length(encode(text)) / 32.0), 1) * 64 AS INT), '20') AS h FROM documents) d) p""",
 )
 
 
 @query(
     "m1_frame_quality",
-    """SELECT doc_id AS frame_id, round(var_pop(l), 4) AS laplacian_variance, round(avg(v), 6) AS mean_intensity FROM (
+    """SELECT doc_id AS frame_id, round(sqrt(var_pop(l)), 5) AS laplacian_deviation, round(avg(v), 6) AS mean_intensity FROM (
          SELECT doc_id, v, coalesce(w, e) + coalesce(e, w) + coalesce(n, s, v) + coalesce(s, n, v) - 4 * v AS l FROM (
            SELECT doc_id, v, lag(v) OVER r AS w, lead(v) OVER r AS e, lag(v) OVER c AS n, lead(v) OVER c AS s FROM grey_px_v
            WINDOW r AS (PARTITION BY doc_id, y ORDER BY x), c AS (PARTITION BY doc_id, x ORDER BY y)) a) b GROUP BY 1""",
 )
 def _(t):
     out = kernels.frame_quality(text_frames(t))
-    return out.select("frame_id", F.round("laplacian_variance", 4).alias("laplacian_variance"), F.round("mean_intensity", 6).alias("mean_intensity"))
+    return out.select("frame_id", F.round(F.sqrt("laplacian_variance"), 5).alias("laplacian_deviation"), F.round("mean_intensity", 6).alias("mean_intensity"))
 
 
 @query("m4_colour_cues")
