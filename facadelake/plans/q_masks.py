@@ -321,9 +321,16 @@ def _(t):
     return kernels.colour_cues(text_frames(t, 33).withColumn("width", F.lit(11)))
 
 
-@query("m6_gradient_stats")
+@query(
+    "m6_gradient_stats",
+    """SELECT doc_id AS frame_id, round(avg(sqrt(gx * gx + gy * gy)), 5) AS sobel_gradient_mean FROM (
+         SELECT doc_id, coalesce(lag(d) OVER c, lead(d) OVER c, d) + 2 * d + coalesce(lead(d) OVER c, lag(d) OVER c, d) AS gx, coalesce(lead(h) OVER c - lag(h) OVER c, 0) AS gy FROM (
+           SELECT doc_id, y, x, coalesce(e - w, 0) AS d, coalesce(w, e) + 2 * v + coalesce(e, w) AS h FROM (
+             SELECT *, lag(v) OVER r AS w, lead(v) OVER r AS e FROM grey_px_v WINDOW r AS (PARTITION BY doc_id, y ORDER BY x)) a) b
+         WINDOW c AS (PARTITION BY doc_id, x ORDER BY y)) g GROUP BY 1""",
+)
 def _(t):
-    return kernels.gradient_stats(text_frames(t))
+    return kernels.gradient_stats(text_frames(t)).select("frame_id", F.round("sobel_gradient_mean", 5).alias("sobel_gradient_mean"))
 
 
 @query("m8_crop_patches")
