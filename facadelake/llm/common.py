@@ -27,8 +27,10 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def as_binary(texts: pa.Array) -> pa.Array:
-    """UTF-8 bytes of a string column with nulls as empty, offsets 64 bit."""
-    return pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+    """Bytes of a string or binary column with nulls as empty, offsets 64 bit."""
+    if pa.types.is_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    return pc.fill_null(texts.cast(pa.large_binary()), b"")
 
 
 def flat(texts: pa.Array) -> tuple:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from facadelake.llm import ngram_join
+from facadelake.llm import byte_bpe, ngram_join
+from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +30,33 @@ def query(name: str, sql: str | None = None):
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by links of three-word shingles at similarity 0.9."""
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query(
+    "op1_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, i - 1 AS i, trim(p[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x
+               FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL) d, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l WHERE x <> ''),
+    w AS (SELECT a.doc_id, a.i, c.i AS j, a.x || chr(10) || b.x || chr(10) || c.x AS w
+          FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.r = a.r + 1 JOIN n c ON a.doc_id = c.doc_id AND c.r = a.r + 2),
+    later AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM w),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later WHERE k > 1),
+    kept AS (SELECT t.doc_id, count(g.i) AS n_lines_removed, string_agg(t.x, chr(10) ORDER BY t.i) FILTER (WHERE g.i IS NULL) AS text
+             FROM (SELECT doc_id, i - 1 AS i, p[i] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL) d,
+                   LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)) t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.i = g.i GROUP BY t.doc_id)
+    SELECT d.doc_id, CAST(coalesce(k.n_lines_removed, 0) AS BIGINT) AS n_lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+    FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
+)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeated windows cover."""
+    return lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines_removed", "text")
+
+
+@query("op9_byte_bpe")
+def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
