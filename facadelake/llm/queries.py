@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, ngram_join
+from facadelake.llm import byte_bpe, ngram_join, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
+from facadelake.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,11 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_token_store")
+def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of all documents' ids, from the blocks read back."""
+    path = work_dir(spark, "token-store")
+    token_store.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.crc32(token_store.read(spark, path))
