@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, ngram_join, token_store
+from facadelake.llm import byte_bpe, fingerprints, ngram_join, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -69,3 +69,10 @@ def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-store")
     token_store.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.crc32(token_store.read(spark, path))
+
+
+@query("op10_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, and their likeness."""
+    out = fingerprints.compared(read(spark, sf_dir, "documents"))
+    return out.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
