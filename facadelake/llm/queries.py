@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, fingerprints, ngram_join, token_store
+from facadelake.llm import byte_bpe, fingerprints, ngram_join, quality_rules, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -76,3 +76,35 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and its edited text, and their likeness."""
     out = fingerprints.compared(read(spark, sf_dir, "documents"))
     return out.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
+
+
+@query(
+    "op7_quality_rules",
+    r"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+    p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+    twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS n FROM p) WHERE n > 1),
+    rw AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
+    l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d),
+    lw AS (SELECT doc_id, source, text, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS c,
+           trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+', ' ', 'g')) AS norm FROM l),
+    lines AS (SELECT * FROM lw WHERE c > 0),
+    dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY doc_id),
+    hosts AS (SELECT source, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
+    lf AS (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm),
+    boiler AS (SELECT lf.source, norm FROM lf JOIN hosts ON lf.source IS NOT DISTINCT FROM hosts.source WHERE lf.n > 20 AND 100 * lf.n > 2 * hosts.n),
+    gone AS (SELECT a.doc_id, sum(c) AS c, sum(c) FILTER (WHERE b.norm IS NOT NULL) AS g FROM lines a LEFT JOIN boiler b ON a.source IS NOT DISTINCT FROM b.source AND a.norm = b.norm GROUP BY a.doc_id),
+    f AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
+          coalesce(100 * (gone.c - gone.g) < 30 * gone.c, false) AS depleted
+          FROM d JOIN w ON d.doc_id = w.doc_id LEFT JOIN dl ON d.doc_id = dl.doc_id LEFT JOIN rw ON d.doc_id = rw.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+           CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept FROM b
+    """,
+)
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdicts of every document."""
+    out = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
