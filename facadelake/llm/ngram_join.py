@@ -11,7 +11,7 @@ How pairs meet without comparing all with all, and without losing one:
 * A pair that links differs in at most D shingles, D following from the sizes. The hash range is cut into
   more than D groups, so some groups of the pair are equal as sets, and of those at least one is not
   empty (see ``n_groups``). The hash of a group's content is a cell; pairs meet in cells.
-* In every cell each member is compared with the cell's smallest member: linear, whatever the cell's size.
+* In every cell each member is compared with one pivot: linear, whatever the cell's size.
   What links is labelled by connected component. Cells whose members still have different labels are
   searched as R-trees; pairs with equal labels need no search, as their component is known. A large cell
   is cut into leaves, and pairs of leaves are spread over tasks.
@@ -34,7 +34,7 @@ from facadelake.llm.shingles import mix, shingle_sets
 from facadelake.operators.components import connected_components
 
 # Groups of the count vectors that cells are searched with; small and large sets get fewer and more.
-LEAST_DIMS, MOST_DIMS = 32, 256
+LEAST_DIMS, MOST_DIMS = 64, 512
 BAND = 1.25  # ratio of the largest to the smallest set size that share a cutting into groups
 LEAF = 2048  # points in a leaf of a large cell
 NODE = 32  # points in a node of the tree inside a task
@@ -102,7 +102,7 @@ def cells_of(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(doc_id, n, sig, cells)`` of all rows: set size, digest of the set, cells."""
+    """``(doc_id, n, sig, v, cells)`` of all rows: set size, digest of the set, group counts, cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -112,12 +112,13 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
+                    pa.array([packed(count_vector(s, dims(len(s)))) for s in found], pa.binary()),
                     pa.array([cells_of(s, percent).view(np.int64) for s in found], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "sig", "cells"],
+                ["doc_id", "n", "sig", "v", "cells"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, cells array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, v binary, cells array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
@@ -133,11 +134,21 @@ def shingle_table(docs: DataFrame, k: int) -> DataFrame:
 
 def dims(n: int) -> int:
     """Coordinates of the points of sets that may link with one of ``n``: by its octave."""
-    return min(MOST_DIMS, max(LEAST_DIMS, 1 << max(0, int(n // 12).bit_length())))
+    return min(MOST_DIMS, max(LEAST_DIMS, 1 << int(n // 2).bit_length()))
 
 
 def count_vector(shingles: np.ndarray, size: int) -> np.ndarray:
-    return np.minimum(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size), 65535).astype(np.uint16)
+    return np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """The counts in as many bytes each as the largest needs, that number first."""
+    width = 1 if vector.max(initial=0) < 1 << 8 else 2 if vector.max() < 1 << 16 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
+def unpacked(v: bytes) -> np.ndarray:
+    return np.frombuffer(v, f"<u{v[0]}", offset=1).astype(np.int64)
 
 
 def fold(vector: np.ndarray, size: int) -> np.ndarray:
@@ -148,13 +159,13 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points with different labels whose bounds allow a link.
 
-    Points are packed by size and by their widest coordinates into nodes with least and most counts. A
+    Points are packed by label, size and their widest coordinates into nodes with least and most counts. A
     node pair is opened only if the sum of the smaller of its most counts reaches what its least sizes
     demand. ``side``: 0 and 1 are the leaves of a pair of leaves and only pairs across count; if all are
     0, all pairs do.
     """
     spread = points.var(0).argsort()[::-1][:2] if len(points) else []
-    order = np.lexsort([*(points[:, c] for c in spread), (np.log(np.maximum(sizes, 1)) * 20).astype(int), side])
+    order = np.lexsort([*(points[:, c] for c in spread), (np.log(np.maximum(sizes, 1)) * 20).astype(int), labels, side])
     cuts = np.arange(0, len(order), NODE)
     nodes = [order[c : c + NODE] for c in cuts]
     most = np.array([points[i].max(0) for i in nodes])
@@ -165,7 +176,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side:
     sides_low, sides_high = np.array([side[i].min() for i in nodes]), np.array([side[i].max() for i in nodes])
     for a in range(len(nodes)):
         rest = np.arange(a, len(nodes))
-        bound = np.minimum(most[a], most[rest]).sum(1)
+        bound = np.minimum(most[a], most[rest]).sum(1, dtype=np.int64)
         ok = bound >= least_shared(low[a] + low[rest], percent)
         ok &= (100 * high[a] >= percent * low[rest]) & (100 * high[rest] >= percent * low[a])
         ok &= ~(same[a] & same[rest] & (first[a] == first[rest]))
@@ -173,7 +184,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side:
             ok &= (sides_low[a] != sides_high[rest]) | (sides_high[a] != sides_low[rest])
         for b in rest[ok]:
             i, j = nodes[a], nodes[b]
-            overlap = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2)
+            overlap = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2, dtype=np.int64)
             good = overlap >= least_shared(sizes[i][:, None] + sizes[j][None, :], percent)
             good &= labels[i][:, None] != labels[j][None, :]
             if across:
@@ -206,24 +217,31 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 def searched(members: DataFrame, percent: int, leaf: int) -> DataFrame:
     """Pairs ``(a, b)`` that R-trees over the cells let through; members ``(cell, rep, label, n, v)``.
 
-    A cell above ``leaf`` members is cut into leaves by hash; a member goes to every pair of leaves that
+    A pair is let through in the first of the cells that it shares. A cell above ``leaf`` members is cut into leaves by hash; a member goes to every pair of leaves that
     its leaf is in.
     """
+    every = members.groupBy("rep").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    members = members.join(every, "rep")
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("leaves"))
     placed = members.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).select(
-        "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "label", "v"
+        "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "label", "v", "cells"
     )
 
     def pairs_of(group: list[tuple]) -> list[tuple]:
         if len(group) < 2:
             return []
         own, ids, sizes_, labels = (np.array(x) for x in zip(*((g[3], g[4], g[5], g[6]) for g in group)))
-        vectors = [np.frombuffer(g[7], np.uint16) for g in group]
+        vectors = [unpacked(g[7]) for g in group]
         size = min(map(len, vectors))
-        points = np.array([fold(v.astype(np.int64), size) for v in vectors])
+        points = np.array([fold(v, size) for v in vectors])
+        points = points.astype(np.uint16 if points.max() < 1 << 16 else np.int64)
         side = (own != group[0][1]).astype(int) if group[0][1] != group[0][2] else np.zeros(len(own), int)
-        return [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for i, j in tree_pairs(points, sizes_, labels, side, percent) for x, y in zip(i, j)]
+        cell, cells = group[0][0], [set(g[8]) for g in group]
+        found = []
+        for i, j in tree_pairs(points, sizes_, labels, side, percent):
+            found += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(i, j) if min(cells[x] & cells[y]) == cell]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
@@ -250,16 +268,22 @@ def searched(members: DataFrame, percent: int, leaf: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def with_vectors(shingles: DataFrame) -> DataFrame:
-    """``(rep, n, v)``: sizes and group counts of the shingle sets."""
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose summed smaller counts allow a link; points ``(rep, n, v)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(s, np.uint64) for s in batch.column("s").to_pylist()]
-            vectors = pa.array([count_vector(s, dims(len(s))).tobytes() for s in found], pa.binary())
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), vectors], ["rep", "n", "v"])
+            keep = []
+            for n, m, v, w in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "v", "w"))):
+                v, w = unpacked(v), unpacked(w)
+                size = min(len(v), len(w))
+                keep.append(bool(np.minimum(fold(v, size), fold(w, size)).sum() >= least_shared(n + m, percent)))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return shingles.mapInArrow(run, "rep long, n long, v binary")
+    near = f"100 * n >= {percent} * m AND 100 * m >= {percent} * n"
+    left = points.select(F.col("rep").alias("a"), "n", "v")
+    right = points.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("v").alias("w"))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n", "m", "v", "w").mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int = LEAF) -> DataFrame:
@@ -277,17 +301,24 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int =
     classes = filled.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     chosen = filled.join(classes.select(F.col("rep").alias("doc_id"), "n", "sig"), ["doc_id", "n", "sig"], "left_semi")
     members = chosen.select(F.col("doc_id").alias("rep"), F.explode("cells").alias("cell"))
-    shared = members.groupBy("cell").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("cell", "pivot")
+    shared = members.groupBy("cell").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("cell", "size")
     met = written(members.join(shared, "cell"), "ngram-cells")
-    pairs = written(met.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "ngram-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    shingles = written(shingle_table(ids.join(wanted, "doc_id", "left_semi"), k).distinct(), "ngram-shingles")
+    # A cell's pivot is its member with the most company in all its cells: what the others are copies of.
+    rank = met.groupBy("rep").agg(F.sum("size").alias("company"))
+    pivots = met.join(rank, "rep").groupBy("cell").agg(F.max(F.struct("company", -F.col("rep"), "rep"))["rep"].alias("pivot"))
+    placed = written(met.join(pivots, "cell"), "ngram-pivots")
+    stars = placed.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    points = filled.select(F.col("doc_id").alias("rep"), "n", "v")
+    pairs = written(bounded(stars, points, percent), "ngram-pairs")
+    # Ids of texts to compare: they grow with the corpus, so they are never broadcast.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.where("size > 2").select(F.col("rep").alias("doc_id"))).distinct()
+    shingles = written(shingle_table(ids.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k), "ngram-shingles")
     first = written(verified(pairs, shingles, percent).distinct(), "ngram-links")
     labels = connected_components(first.select(F.lit(0).alias("all"), "a", "b"), "all").select(F.col("node").alias("rep"), "root")
-    # Cells whose members, besides the one that all were compared with, have several labels.
-    others = met.where("rep > pivot").select("cell", "rep").join(labels, "rep", "left").select("cell", "rep", F.coalesce("root", "rep").alias("label"))
+    # Cells whose members, besides the pivot that all were compared with, have several labels.
+    others = placed.where("size > 2 AND rep <> pivot").select("cell", "rep").join(labels, "rep", "left").select("cell", "rep", F.coalesce("root", "rep").alias("label"))
     several = others.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
-    candidates = searched(others.join(several, "cell", "left_semi").distinct().join(with_vectors(shingles), "rep"), percent, leaf)
+    candidates = searched(others.join(several, "cell", "left_semi").distinct().join(points, "rep"), percent, leaf)
     second = written(verified(candidates.join(pairs, ["a", "b"], "left_anti"), shingles, percent).distinct(), "ngram-links")
     every = first.unionByName(second).select(F.lit(0).alias("all"), "a", "b")
     roots = connected_components(every, "all").select(F.col("node").alias("rep"), "root")
