@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, fingerprints, ngram_join, quality_rules, token_store
+from facadelake.llm import byte_bpe, fingerprints, mixing, ngram_join, quality_rules, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -108,3 +108,10 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdicts of every document."""
     out = quality_rules.apply_rules(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, domain posteriors and fitted rate of every document."""
+    _, _, rated = mixing.mixing_rates(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), read(spark, sf_dir, "labels"))
+    return rated
