@@ -6,7 +6,7 @@ after it. These functions are closed under composition, so their composites are
 before all code points follow from an associative scan over a multiplication table: within columns of a
 block, over the blocks' totals, and back. State and symbol say where a pre-token begins.
 
-The slices are looked up in a bounded cache of merged pre-tokens; those not in it are merged by rank.
+The slices are looked up in a bounded table of merged pre-tokens; those not in it are merged by rank.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from facadelake.llm.common import flat, pieces
+from facadelake.llm.interning import Interner
 
 # The white space of the pre-token pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -35,7 +36,7 @@ SYM_OTHER, SYM_LETTER, SYM_NUMBER, SYM_WHITE, SYM_LAST_SPACE, SYM_LAST_WHITE, SY
 # States: what the pre-token that ends before a code point may still take.
 DONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 256
-CACHE = 300_000  # pre-tokens kept by a task; then the cache starts anew
+CACHE = 600_000  # merged pre-tokens that a worker keeps
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -190,42 +191,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes pieces of texts; keeps what it has merged, up to ``CACHE`` pre-tokens."""
+    """Encodes pieces of texts; a worker process keeps what it has merged, up to ``CACHE`` pre-tokens."""
 
     def __init__(self, path: str):
-        self.ranks = load_ranks(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.lengths: list[int] = []
-        self.ids: list[int] = []
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, where each text's ids begin (one more entry than texts), and the byte offset of every id in its text's piece."""
-        if len(self.index) > CACHE:
-            self.clear()
+        ranks = load_ranks(path)
+        self.merged = Interner(lambda tokens: (merge(t, ranks) for t in tokens), CACHE)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (one more entry than texts)."""
         blob = data.tobytes()
         points = np.frombuffer(blob.decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         starts = np.searchsorted(lead, offsets[:-1][np.diff(offsets) > 0])
         begin = lead[boundaries(points, starts)]
         cuts = begin.tolist()
-        tokens = [blob[a:b] for a, b in zip(cuts, [*cuts[1:], len(blob)])]
-        index, lengths, ids = self.index, self.lengths, self.ids
-        for t in set(tokens).difference(index):
-            found = merge(t, self.ranks)
-            index[t] = len(lengths)
-            lengths.append(len(found))
-            ids += found
-        at = np.array([index[t] for t in tokens], np.int64)
-        size = np.array(lengths, np.int64)
-        pool_at = np.concatenate([[0], np.cumsum(size)])
-        size = size[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        flat_ids = np.array(ids, np.uint32)[np.repeat(pool_at[at] - total[:-1], size) + np.arange(total[-1])]
-        bounds = total[np.searchsorted(begin, offsets)]
-        return flat_ids, bounds, begin
+        ids, at = self.merged.rows([blob[a:b] for a, b in zip(cuts, [*cuts[1:], len(blob)])])
+        return ids, at[np.searchsorted(begin, offsets)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -255,9 +241,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for batch in pieces(batches):
-            ids, bounds, _ = encoder.encode(*flat(batch.column("text")))
+            ids, bounds = encoder(path).encode(*flat(batch.column("text")))
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 

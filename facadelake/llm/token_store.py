@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facadelake.llm.common import pieces
+from facadelake.llm.interning import Interner
 
 # Ids per word and their width, selectors 1 to 14.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -32,7 +34,10 @@ HEADER = struct.Struct("<4sIIII")  # mark, values, words, escapes, documents
 MARK = b"S8B1"
 BLOCK_IDS = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE = 300_000  # words whose ids a task keeps; then it starts anew
+# Body and closing punctuation, none of which belongs to a special token or a contraction.
+BODY = re.compile(r"(.*?)([,.!?;:$%&*#]*)\Z", re.DOTALL)
+END = " "  # stands for the end of a text among its words
+CACHE = 600_000  # words whose ids a worker keeps
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +121,46 @@ def tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of texts by the library, word by word: the tokenizer drops white space and no token crosses it."""
+    """Ids of texts by the library, word by word: the tokenizer drops white space and no token crosses it.
 
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.known: dict[str, list[int]] = {}
+    A word's closing punctuation is a token sequence of its own, so words are worked out as body and closing.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        self.tokenizer, self.end_id = tokenizer(path), end_id
+        self.parts: dict[str, list[int]] = {}
+        self.words = Interner(self._find, CACHE)
+
+    def _find(self, words: list[str]) -> Iterator[list[int]]:
+        pairs = [BODY.match(w).groups() if w != END else (END, "") for w in words]
+        parts = self.parts
+        new = list({p for pair in pairs for p in pair if p and p != END}.difference(parts))
+        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            parts[part] = found.ids
+        for body, closing in pairs:
+            yield [self.end_id] if body == END else parts[body] + parts[closing] if body and closing else parts[body or closing]
+        if len(parts) > CACHE:
+            self.parts = {}
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id after each, and where each text's begin (one more entry than texts)."""
+        words: list[str] = []
+        bounds = [0]
+        for text in texts:
+            # Same ids, fewer different words: case goes in the tokenizer as well, letter by letter.
+            if "Σ" not in text and unicodedata.is_normalized("NFC", text):
+                text = text.lower()
+            words += WORD.findall(text)
+            words.append(END)
+            bounds.append(len(words))
+        ids, at = self.words.rows(words)
+        return ids, at[bounds]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, words = self.known, [WORD.findall(t) for t in texts]
-        new = list(set().union(*words).difference(known))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = found.ids
-        return [[i for w in own for i in known[w]] for own in words]
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """One for all tasks of a worker process."""
+    return WordEncoder(path, end_id)
 
 
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int | None = None) -> DataFrame:
@@ -143,7 +174,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer_path)
+        shard, words = TaskContext.get().partitionId(), encoder(tokenizer_path, end_id)
         block = start = size = 0
         ids: list[np.ndarray] = []
         owners: list[int | None] = []
@@ -158,9 +189,10 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, shards: int
 
         for batch in pieces(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for owner, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                found.append(end_id)
-                ids.append(np.array(found, np.uint32))
+            every, bounds = words.encode(texts)
+            for owner, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
+                found = every[a:b]
+                ids.append(found)
                 owners.append(owner)
                 size += len(found)
                 if size >= BLOCK_IDS:
