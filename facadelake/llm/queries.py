@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, fingerprints, mixing, ngram_join, quality_rules, token_store
+from facadelake.llm import byte_bpe, fingerprints, language_crf, mixing, ngram_join, quality_rules, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -115,3 +115,12 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, domain posteriors and fitted rate of every document."""
     _, _, rated = mixing.mixing_rates(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), read(spark, sf_dir, "labels"))
     return rated
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where the id's checksum leaves a remainder other than 2."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_crf.train(docs, where=~F.coalesce(held_out, F.lit(False)))
+    return language_crf.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
