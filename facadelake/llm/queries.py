@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, fingerprints, html_extract, language_crf, mixing, ngram_join, quality_rules, token_store
+from facadelake.llm import byte_bpe, fingerprints, html_extract, language_crf, mixing, ngram_join, quality_rules, token_counts, token_store
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -130,3 +130,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_token_counts")
+def counts_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
