@@ -34,10 +34,12 @@ HEADER = struct.Struct("<4sIIII")  # mark, values, words, escapes, documents
 MARK = b"S8B1"
 BLOCK_IDS = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-# Body and closing punctuation, none of which belongs to a special token or a contraction.
-BODY = re.compile(r"(.*?)([,.!?;:$%&*#]*)\Z", re.DOTALL)
+# Lower-case texts of these characters only, without apostrophes, are cut finer: between letters or digits and the rest
+# the tokenizer always cuts, unless an apostrophe makes a contraction.
+PLAIN = re.compile(r"[\x00-\x26\x28-\x7eß-öø-ÿ]*")
+PART = re.compile(r"[a-z0-9ß-öø-ÿ]+|[^a-z0-9ß-öø-ÿ\x20\x09-\x0D]+")
 END = " "  # stands for the end of a text among its words
-CACHE = 600_000  # words whose ids a worker keeps
+CACHE = 900_000  # words whose ids a worker keeps
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,36 +123,30 @@ def tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of texts by the library, word by word: the tokenizer drops white space and no token crosses it.
-
-    A word's closing punctuation is a token sequence of its own, so words are worked out as body and closing.
-    """
+    """Ids of texts by the library, word by word: the tokenizer drops white space and no token crosses it."""
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer, self.end_id = tokenizer(path), end_id
-        self.parts: dict[str, list[int]] = {}
         self.words = Interner(self._find, CACHE)
 
     def _find(self, words: list[str]) -> Iterator[list[int]]:
-        pairs = [BODY.match(w).groups() if w != END else (END, "") for w in words]
-        parts = self.parts
-        new = list({p for pair in pairs for p in pair if p and p != END}.difference(parts))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            parts[part] = found.ids
-        for body, closing in pairs:
-            yield [self.end_id] if body == END else parts[body] + parts[closing] if body and closing else parts[body or closing]
-        if len(parts) > CACHE:
-            self.parts = {}
+        found = iter(self.tokenizer.encode_batch_fast([w for w in words if w != END], add_special_tokens=False))
+        return ([self.end_id] if w == END else next(found).ids for w in words)
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Pieces that give the text's ids one by one. The tokenizer lowers letter by letter, after composing them."""
+        low = text.lower()
+        if PLAIN.fullmatch(low) and "<|" not in low:
+            return PART.findall(low)
+        return WORD.findall(low if "Σ" not in text and unicodedata.is_normalized("NFC", text) else text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and where each text's begin (one more entry than texts)."""
         words: list[str] = []
         bounds = [0]
         for text in texts:
-            # Same ids, fewer different words: case goes in the tokenizer as well, letter by letter.
-            if "Σ" not in text and unicodedata.is_normalized("NFC", text):
-                text = text.lower()
-            words += WORD.findall(text)
+            words += self.split(text)
             words.append(END)
             bounds.append(len(words))
         ids, at = self.words.rows(words)

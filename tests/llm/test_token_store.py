@@ -1,5 +1,6 @@
 """Blocks of ids: exact round trips, the library's ids, places, edge cases."""
 
+import random
 import zlib
 
 import numpy as np
@@ -32,6 +33,9 @@ def test_packs_tightly():
 def test_ids_and_places(spark, tmp_path):
     words = ["Hello", "wörld's", "don't", "<|endoftext|>", "a\x1cb!", "é́", "ΟΔΟΣ", "12345", "…", "漢字 x", "İ"]
     rows = [(i, " ".join(words[(i * j) % len(words)] for j in range(i % 40)) + "\n\t " * (i % 3)) for i in range(300)]
+    rng = random.Random(5)
+    chars = "aZé9ß÷× .,!?_-|<>\n\x1c\x85\xa0²µ'st/$ÀΣσ"
+    rows += [(1000 + i, "".join(rng.choice(chars[: rng.choice([8, 14, 20, 40])]) for _ in range(rng.randrange(80)))) for i in range(1500)]
     rows += [(500, None), (501, ""), (502, "word " * 90_000), (7, "again"), (None, "null id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 AS shard", "2 AS start")
     ts.write(docs, str(tmp_path / "t"), PATH, 2, shards=4)
