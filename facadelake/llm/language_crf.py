@@ -285,6 +285,13 @@ def train(docs: DataFrame, where: Column | None = None) -> Model:
     return fit(sorted((r["lang"], r["t"]) for r in sample.collect()))
 
 
+def _held(shared, texts: list[str]) -> np.ndarray:
+    """Letters of every text that every language holds."""
+    _, bounds, letters, posterior = _labeller(shared).label(texts)
+    sums = np.concatenate([np.zeros((1, posterior.shape[1])), np.cumsum(posterior * letters[:, None], 0, dtype=np.float64)])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score, shares)`` of every row of ``docs (doc_id, text)``.
 
@@ -299,12 +306,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in pieces(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs, scores, shares = [], [], []
-            if languages:
-                _, bounds, letters, posterior = _labeller(shared).label(texts)
-                sums = np.concatenate([np.zeros((1, len(languages))), np.cumsum(posterior * letters[:, None], 0, dtype=np.float64)])
-                held = sums[bounds[1:]] - sums[bounds[:-1]]
+            held = _held(shared, texts) if languages else None
             for i in range(len(texts)):
-                total = held[i].sum() if languages else 0.0
+                total = held[i].sum() if held is not None else 0.0
                 if total < 0.5:
                     langs.append(UNKNOWN), scores.append(0.0), shares.append([])
                 else:
@@ -319,6 +323,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` in which one language holds at least ``least`` of the letters; all columns, nothing shuffled.
+
+    Texts without letters go; if nothing was learned, all do.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    k = len(model.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            held = _held(shared, [t or "" for t in batch.column("text").to_pylist()]) if k else np.zeros((batch.num_rows, 1))
+            total = held.sum(1)
+            yield batch.filter(pa.array((total >= 0.5) & (held.max(1) >= least * total - 1e-6)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, spans)``: the stretches of words of one language in every text, with their first and last word's number, language and
     least posterior. Texts without words have none."""

@@ -327,9 +327,11 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int =
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each component does: the one with the smallest
-    ``doc_id``, once. Rows without words stay; all columns are kept."""
+    """Rows of ``docs`` that stay when one document of each component does, the one with the smallest ``doc_id``.
+
+    Rows without words stay, as do rows without ``doc_id``; repeated rows of one document stay or go together. All columns are kept.
+    """
     found = ngram_components(docs, k, percent)
-    gone = found.where("n_shingles > 0 AND component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates()
+    gone = found.where("n_shingles > 0 AND component_id < doc_id").select(F.col("doc_id").alias("_llm_gone")).distinct()
+    # The ids grow with the corpus, so they are never broadcast.
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_llm_gone"), "left_anti")

@@ -79,4 +79,7 @@ def test_edges(spark):
     empty = crf.train(docs.limit(0))
     assert [r.lang_pred for r in crf.identify(docs, empty).collect()] == ["und"] * len(rows)
     assert crf.identify(docs.limit(0), model).count() == 0
+    kept = crf.accepted(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {g.doc_id for g in crf.identify(docs, model).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+    assert crf.accepted(docs, empty).count() == 0
     assert crf.spans(docs, model).count() == len(rows)
