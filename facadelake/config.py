@@ -24,8 +24,6 @@ class Thresholds:
     nominal_gsd_cm: float = 0.15
     patch_px: int = 96
     upsample_target: int = 600
-    # A nested document is split into parts of about this many defects.
-    document_part_rows: int = 20_000
 
 
 DEFAULTS = Thresholds()

@@ -270,42 +270,24 @@ def top_flags(flags: DataFrame, k: int = 4, by: str = "building_id") -> DataFram
     return flags.withColumn("position", place).where(F.col("position") <= k)
 
 
-def document_parts(defects: DataFrame, by: list[str], part_rows: int = DEFAULTS.document_part_rows) -> DataFrame:
-    """A ``part`` number per defect, so that no nested document grows without bound.
+def assemble(buildings: DataFrame, facades: DataFrame, zones: DataFrame, defects: DataFrame) -> DataFrame:
+    """Building -> facade -> zone -> defect documents, one row per building and facade, whatever their size.
 
-    Documents of ordinary size have the single part 0. A key with more than ``part_rows`` defects is
-    spread over as many parts as it needs, by a hash of the defect id; every defect is kept.
-    """
-    sizes = defects.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).cast("int").alias("parts"))
-    return defects.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("defect_id"), F.col("parts").cast("long")).cast("int"))
-
-
-def assemble(buildings: DataFrame, facades: DataFrame, zones: DataFrame, defects: DataFrame,
-             part_rows: int = DEFAULTS.document_part_rows) -> DataFrame:
-    """Building -> facade -> zone -> defect documents, one row per building and part.
-
-    Three nested aggregations on the shared prefix of the keys; lists are sorted, for row order does
-    not survive a shuffle. Part 0 carries every facade and zone, also empty ones.
+    Two nested aggregations on the shared prefix of the keys; lists are sorted, for row order does
+    not survive a shuffle. Facades and zones without defects are there, too.
     """
     cells = ["building_id", "facade_id", "zone_id"]
-    split = document_parts(defects, ["building_id"], part_rows)
     record = F.struct(
         "defect_id", "type", F.round("length_cm", 2).alias("length_cm"), F.round("width_mm", 2).alias("width_mm"),
         F.round("area_cm2", 2).alias("area_cm2"), "severity_class", F.round("vi_contribution", 4).alias("vi_contribution"),
         F.round("confidence_score", 4).alias("confidence_score"), F.coalesce("is_false_positive", F.lit(False)).alias("is_false_positive"),
         F.struct("centroid_x", "centroid_y").alias("centroid_px"),
     )
-    per_zone = split.groupBy(*cells, "part").agg(
-        F.array_sort(F.collect_list(record)).alias("defects")
-    )
-    zone_rows = zones.select(*cells, F.round("zone_area_cm2", 2).alias("zone_area_cm2"), F.round("zone_vi", 2).alias("zone_vi"),
-                             F.col("defect_count").alias("defect_count"), "dominant_defect_type")
-    first = zone_rows.join(per_zone.where("part = 0"), cells, "left").withColumn("part", F.lit(0))
-    further = per_zone.where("part > 0").join(zone_rows, cells)
-    columns = [*cells, "part", "zone_area_cm2", "zone_vi", "defect_count", "dominant_defect_type", "defects"]
-    zone_docs = first.select(columns).unionByName(further.select(columns))
-    empty = F.array().cast(zone_docs.schema["defects"].dataType)
-    per_facade = zone_docs.groupBy("building_id", "facade_id", "part").agg(
+    per_zone = defects.groupBy(*cells).agg(F.array_sort(F.collect_list(record)).alias("defects"))
+    zone_docs = zones.select(*cells, F.round("zone_area_cm2", 2).alias("zone_area_cm2"), F.round("zone_vi", 2).alias("zone_vi"),
+                             "defect_count", "dominant_defect_type").join(per_zone, cells, "left")
+    empty = F.array().cast(per_zone.schema["defects"].dataType)
+    per_facade = zone_docs.groupBy("building_id", "facade_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(F.col("zone_id").alias("grid_id"), "zone_area_cm2", "zone_vi", "defect_count", "dominant_defect_type",
@@ -315,16 +297,14 @@ def assemble(buildings: DataFrame, facades: DataFrame, zones: DataFrame, defects
     )
     facade_rows = facades.select("building_id", "facade_id", "orientation", F.round("area_m2", 2).alias("area_m2"),
                                  F.round("vi_score", 2).alias("vi_score"), "vi_class")
-    facade_docs = per_facade.join(facade_rows, ["building_id", "facade_id"])
-    per_building = facade_docs.groupBy("building_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("facade_id").alias("id"), "orientation", "area_m2", "vi_score", "vi_class", "zones"))).alias("facades")
-    )
-    return buildings.join(per_building, "building_id").select(*buildings.columns, "part", "facades")
+    facade = F.struct(F.col("facade_id").alias("id"), "orientation", "area_m2", "vi_score", "vi_class", "zones")
+    facade_docs = per_facade.join(facade_rows, ["building_id", "facade_id"]).select("building_id", "facade_id", F.array(facade).alias("facades"))
+    return buildings.join(facade_docs, "building_id").select(*buildings.columns, "facade_id", "facades")
 
 
 def flatten(documents: DataFrame) -> DataFrame:
     """Defect rows of nested documents, with their parents' keys."""
-    keys = [c for c in documents.columns if c not in {"facades", "part"}]
+    keys = [c for c in documents.columns if c not in {"facades", "facade_id"}]
     facades = documents.select(*keys, F.explode("facades").alias("f"))
     zones = facades.select(*keys, F.col("f.id").alias("facade_id"), "f.orientation", F.explode("f.zones").alias("z"))
     return zones.select(*keys, "facade_id", "orientation", F.col("z.grid_id").alias("zone_id"), F.explode("z.defects").alias("d")).select(

@@ -297,12 +297,12 @@ def _(t):
     return rows.withColumn("rank", rank.cast("int")).orderBy(*remediation_order(["inspection_id"]))
 
 
-def documents(t, part_rows: int = 20_000):
+def documents(t):
     owner = t.inspections_base.select("inspection_id", "building_id", F.col("inspection_id").alias("facade_id"))
     full = scored(t).withColumns({"vi_contribution": F.col("vi"), "confidence_score": F.col("confidence")}).join(owner, "inspection_id")
     fac = facades(t).withColumns({"area_m2": F.col("facade_area_cm2") / 10000.0, "vi_class": r.vi_class("vi_score", "name")})
     return reports.assemble(
-        t.inspections_base.select("building_id", "org_id").distinct(), fac, zones(t).join(owner, "inspection_id"), full, part_rows
+        t.inspections_base.select("building_id", "org_id").distinct(), fac, zones(t).join(owner, "inspection_id"), full
     )
 
 
@@ -317,17 +317,17 @@ _NESTED = """SELECT i.building_id, d.inspection_id AS facade_id, i.orientation,
 def _(t):
     docs = documents(t)
     zone_sizes = F.flatten(F.transform("facades", lambda f: F.transform(f["zones"], lambda z: F.size(z["defects"]))))
-    return docs.where("part = 0").select(
+    sizes = docs.select(
         "building_id",
-        F.size("facades").cast("long").alias("n_facades"),
         F.size(zone_sizes).cast("long").alias("n_zones"),
         F.aggregate(zone_sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_defects"),
         F.size(F.filter(zone_sizes, lambda n: n == 0)).cast("long").alias("n_empty"),
     )
+    return sizes.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_facades"), *(F.sum(c).alias(c) for c in ("n_zones", "n_defects", "n_empty")))
 
 
 @query("n2_flatten", _NESTED)
 def _(t):
-    return reports.flatten(documents(t, 20)).select(
+    return reports.flatten(documents(t)).select(
         "building_id", "facade_id", "orientation", "zone_id", "defect_id", "type", "length_cm", "width_mm", "severity_class", "is_false_positive"
     )

@@ -95,7 +95,7 @@ def _(t):
     nested = documents(t)
     path = work_dir(t.spark, "documents")
     docs.write_documents(nested, path, "2024-01-01T00:00:00Z", "threshold: 1")
-    building = T.StructType([f for f in nested.schema if f.name != "part"])
+    building = T.StructType([f for f in nested.schema if f.name != "facade_id"])
     schema = T.StructType([T.StructField("pipeline_config_hash", T.StringType()), T.StructField("buildings", T.ArrayType(building))])
     back = t.spark.read.schema(schema).json(path).select(F.explode("buildings").alias("b")).select("b.*")
     return reports.flatten(back).select(
@@ -114,7 +114,7 @@ def _(t):
             "temporal_status": F.when(F.col("line_no") == 1, "propagated"),
         }
     )
-    return docs.read_features(docs.geojson_points(rows, "inspection_id", part_rows=5), "inspection_id")
+    return docs.read_features(docs.geojson_points(rows, "inspection_id"), "inspection_id")
 
 
 @query("s7_geojson_polygons", "SELECT inspection_id, count(*) AS n_features FROM defects_v WHERE line_no <> 7 GROUP BY 1")
@@ -123,8 +123,8 @@ def _(t):
     ring = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h), F.array(x, y + h))
     rows = t.boxes.withColumns({"contour": F.when(F.col("line_no") != 7, ring), "severity": F.col("severity_b")})
     out = docs.geojson_polygons(rows, "inspection_id")
-    size = F.size(F.from_json("geojson", "struct<features:array<string>>")["features"]).cast("long")
-    return out.groupBy("inspection_id").agg(F.sum(size).alias("n_features"))
+    corners = F.size(F.from_json("feature", "struct<geometry:struct<coordinates:array<array<array<double>>>>>")["geometry"]["coordinates"][0])
+    return out.groupBy("inspection_id").agg(F.count_if(corners == 4).alias("n_features"))
 
 
 @query("s12_append_audit", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT client_id) AS users FROM requests_v GROUP BY 1")

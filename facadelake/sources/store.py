@@ -1,25 +1,15 @@
-"""The inspection store: upserts, replacements and appends over partitioned Parquet.
-
-Tables are split by a hash bucket of the building, so a batch rewrites only the buckets it touches.
-"""
+"""The inspection store: upserts, replacements and appends over Parquet."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facadelake.operators.hotkeys import latest
 
-BUCKETS = 64
-
-
-def bucket_of(building: str = "building_id", buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(building).cast("string")), F.lit(buckets)).cast("int")
-
-
 def upsert_inspections(target: DataFrame, batch: DataFrame, key: str = "inspection_id", order: str = "run_timestamp") -> DataFrame:
     """Insert with version 1, or overwrite the fields and raise the version. Of several deliveries of one
     key in a batch the latest counts."""
@@ -72,44 +62,74 @@ def append_audit(df: DataFrame, path: str, created: str = "created_at") -> None:
     df.withColumn("day", F.to_date(created)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def _touched(batch: DataFrame) -> list[int]:
-    # At most BUCKETS numbers come back.
-    return [row[0] for row in batch.select(bucket_of()).distinct().collect()]
-
-
-def save(spark: SparkSession, path: str, name: str, merged: DataFrame) -> None:
-    """Rewrite the touched buckets. New files are staged and replace the old ones at commit."""
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+# The store of a stream of deliveries. A delivery only ever adds files: its inspections, its defects, and, last of all,
+# one row in the log of commits that makes both visible. Nothing that other deliveries wrote is touched.
 
 
-def load(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+def _stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """A table of the store, or None if nothing was written yet."""
     from pyspark.errors import AnalysisException
 
-    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
     try:
-        return conform(spark.read.schema(full).parquet(f"{path}/{name}"), full)
+        reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+        return reader.option("basePath", path).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], full)
+        return None
 
 
-def apply_batch(spark: SparkSession, path: str, inspections: DataFrame, defects: DataFrame, batch_id: int) -> None:
-    """Upsert a batch of inspections and replace their defects.
+def commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(commit, seq)`` of everything visible."""
+    return _stored(spark, f"{path}/commits", T.StructType().add("seq", "long").add("commit", "string"))
 
-    Each row remembers the batch that wrote it. A batch that is run again after a failure finds its own
-    number and changes nothing, so row versions count deliveries, not attempts.
+
+def apply_batch(spark: SparkSession, path: str, inspections: DataFrame, defects: DataFrame, batch_id: int, writer: str = "batch") -> None:
+    """Deliver a batch of inspections with all their defects, maybe none.
+
+    ``writer`` names the query that delivers, so batch numbers of a restarted or another query are their own. A batch that is in the
+    log changes nothing when it is run again; one that failed before rewrites its own files. Of several deliveries of one
+    inspection in a batch the latest counts.
     """
-    incoming = inspections.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    touched = _touched(incoming)
-    if not touched:
+    commit = f"{writer}-{batch_id}"
+    log = commits(spark, path)
+    done = log.where(F.col("commit") == commit).limit(1).count() if log is not None else 0
+    if done:
         return
-    schema = T.StructType([f for f in incoming.schema.fields if f.name != "row_version"] + [T.StructField("row_version", T.IntegerType())])
-    old = load(spark, path, "inspections", schema).where(F.col("bucket").isin(touched))
-    done = old.where(F.col("batch_id") >= batch_id).select("inspection_id")
-    fresh = incoming.join(done, "inspection_id", "left_anti")
-    # Defects first: they are a pure replacement, so a repeat after a failure in between gives the same rows.
-    old_defects = load(spark, path, "defects", defects.schema).where(F.col("bucket").isin(touched)).drop("bucket")
-    save(spark, path, "defects", replace_defects(old_defects, defects, incoming).withColumn("bucket", bucket_of()))
-    merged = upsert_inspections(old.drop("bucket"), fresh)
-    save(spark, path, "inspections", merged.withColumn("bucket", bucket_of()))
+    last = log.agg(F.max("seq")).first()[0] if log is not None else None
+    heads = latest(inspections, ["inspection_id"], [F.col("run_timestamp")]).withColumn("deliveries", F.lit(1).cast("long"))
+    rows = defects.withColumn("growth_acceleration", F.coalesce("growth_acceleration", F.lit(0.0)))
+    rows.write.mode("overwrite").parquet(f"{path}/defects/commit={commit}")
+    heads.write.mode("overwrite").parquet(f"{path}/inspections/commit={commit}")
+    spark.range(1).select(F.lit((last or 0) + 1).cast("long").alias("seq")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/commit={commit}")
+
+
+def read_inspections(spark: SparkSession, path: str) -> DataFrame:
+    """The latest delivery of every inspection, with ``row_version``, how often it was delivered, and its ``commit``.
+
+    One aggregate with map-side maxima, so an inspection that is delivered very often costs one row per task.
+    """
+    heads, log = _stored(spark, f"{path}/inspections"), commits(spark, path)
+    if heads is None or log is None:
+        raise FileNotFoundError(f"no inspections are committed below {path}")
+    heads = heads.withColumn("commit", F.col("commit").cast("string"))
+    fields = [c for c in heads.columns if c not in ("inspection_id", "deliveries")]
+    newest = heads.join(log, "commit").groupBy("inspection_id").agg(
+        F.max_by(F.struct(*fields), F.struct("seq", "commit")).alias("h"), F.sum("deliveries").cast("int").alias("row_version")
+    )
+    return newest.select("inspection_id", "h.*", "row_version")
+
+
+def read_defects(spark: SparkSession, path: str) -> DataFrame:
+    """Defects of every inspection's latest delivery."""
+    rows = _stored(spark, f"{path}/defects").withColumn("commit", F.col("commit").cast("string"))
+    visible = read_inspections(spark, path).select("inspection_id", "commit")
+    return rows.join(visible, ["inspection_id", "commit"], "left_semi").drop("commit")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The visible state as the first commit of a new store, without what later deliveries replaced."""
+    heads = read_inspections(spark, path).withColumn("deliveries", F.col("row_version").cast("long")).drop("row_version", "commit")
+    read_defects(spark, path).write.parquet(f"{target}/defects/commit=compacted-0")
+    heads.write.parquet(f"{target}/inspections/commit=compacted-0")
+    spark.range(1).select(F.lit(0).cast("long").alias("seq")).coalesce(1).write.parquet(f"{target}/commits/commit=compacted-0")

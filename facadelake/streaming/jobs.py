@@ -136,7 +136,9 @@ def ingest_inspections(documents: DataFrame, store_path: str, checkpoint: str, a
                 newest = newest.withColumn("part", F.lit(0))
             rows = newest.dropDuplicates(["inspection_id", "part"]).select("inspection_id", "building_id", F.explode("defects").alias("x"))
             rows = rows.select("inspection_id", "building_id", "x.*")
-            apply_batch(batch.sparkSession, store_path, heads, rows, batch_id)
+            # Batch numbers are the query's own: a stream begun anew from an empty checkpoint has another id.
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+            apply_batch(batch.sparkSession, store_path, heads, rows, batch_id, query)
         finally:
             batch.unpersist()
 

@@ -19,8 +19,8 @@ def doc(i, run, n, score=1.0):
 
 
 def state(spark, path):
-    heads = {x["inspection_id"]: (x["row_version"], x["vi_score"]) for x in spark.read.parquet(f"{path}/inspections").collect()}
-    rows = spark.read.parquet(f"{path}/defects").groupBy("inspection_id").count().collect()
+    heads = {x["inspection_id"]: (x["row_version"], x["vi_score"]) for x in store.read_inspections(spark, path).collect()}
+    rows = store.read_defects(spark, path).groupBy("inspection_id").count().collect()
     return heads, {x["inspection_id"]: x["count"] for x in rows}
 
 
@@ -46,7 +46,15 @@ def test_ingest_repeats_and_updates(spark, tmp_path):
     assert rows == {"b1_2024-01-01_C1": 1, "b2_2024-01-01_C1": 2}
     run()
     assert state(spark, out) == (heads, rows)
-    zero = spark.read.parquet(f"{out}/defects").where("growth_acceleration IS NULL").count()
+    # A stream begun anew counts its batches from 0; it updates inspections and defects together.
+    write([doc(2, "t4", 0, 7.0)])
+    q = jobs.ingest_inspections(sinks.read_stream(spark, str(tmp_path), "src"), out, str(tmp_path / "cp2"))
+    q.awaitTermination()
+    heads, rows = state(spark, out)
+    assert heads == {"b1_2024-01-01_C1": (3, 5.0), "b2_2024-01-01_C1": (2, 7.0)} and rows == {"b1_2024-01-01_C1": 1}
+    store.compact(spark, out, f"{out}2")
+    assert state(spark, f"{out}2") == (heads, rows)
+    zero = store.read_defects(spark, out).where("growth_acceleration IS NULL").count()
     assert zero == 0
 
 
@@ -55,27 +63,32 @@ def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "i1", "b1", None)], "defect_id string, inspection_id string, building_id string, growth_acceleration double")
     for batch in (5, 5, 6, 6):
         store.apply_batch(spark, str(tmp_path), heads, rows, batch)
-    assert spark.read.parquet(f"{tmp_path}/inspections").first()["row_version"] == 2
-    assert spark.read.parquet(f"{tmp_path}/defects").count() == 1
-
-
-def test_assemble_parts_keep_everything(spark):
-    n = 57
+    path = str(tmp_path)
+    assert store.read_inspections(spark, path).first()["row_version"] == 2
+    assert store.read_defects(spark, path).count() == 1
+    # Delivered without defects, and moved to another building: one row, nothing left of the old.
+    store.apply_batch(spark, path, heads.withColumn("building_id", F.lit("b2")), rows.limit(0), 0, "other")
+    assert [(r.building_id, r.row_version) for r in store.read_inspections(spark, path).collect()] == [("b2", 3)]
+    assert store.read_defects(spark, path).count() == 0
+
+
+def test_assemble_keeps_everything(spark):
+    """One building with most of the defects: a document per facade, every defect in it."""
+    names = "defect_id string, type string, length_cm double, width_mm double, area_cm2 double, severity_class string, vi_contribution double, confidence_score double, is_false_positive boolean, centroid_x int, centroid_y int"
+    where = [("b" if i % 20 else "c", f"f{i % 3}", f"A{i % 2}") for i in range(570)]
     defects = spark.createDataFrame(
-        [("b", "f", "A1", f"d{i}", "crack", 1.0, 1.0, 1.0, "fine", 0.1, 0.9, i % 5 == 0, i, i) for i in range(n)],
-        "building_id string, facade_id string, zone_id string, defect_id string, type string, length_cm double, width_mm double, area_cm2 double, severity_class string, vi_contribution double, "
-        "confidence_score double, is_false_positive boolean, centroid_x int, centroid_y int",
+        [(*w, f"d{i}", "crack", 1.0, 1.0, 1.0, "fine", 0.1, 0.9, i % 5 == 0, i, i) for i, w in enumerate(where)], "building_id string, facade_id string, zone_id string, " + names
     )
-    zones = spark.createDataFrame([("b", "f", z, 5.0, 1.0, 0, None) for z in ("A1", "A2")], "building_id string, facade_id string, zone_id string, zone_area_cm2 double, zone_vi double, defect_count int, dominant_defect_type string")
-    facades = spark.createDataFrame([("b", "f", "N", 1.0, 2.0, "minor")], "building_id string, facade_id string, orientation string, area_m2 double, vi_score double, vi_class string")
-    heads = spark.createDataFrame([("b", "name")], "building_id string, name string")
-    whole = reports.assemble(heads, facades, zones, defects)
-    assert whole.count() == 1 and len(whole.first()["facades"][0]["zones"]) == 2
-    split = reports.assemble(heads, facades, zones, defects, part_rows=10)
-    assert split.count() > 1
-    for d in (whole, split):
-        assert {x[0] for x in reports.flatten(d).select("defect_id").collect()} == {f"d{i}" for i in range(n)}
-        assert reports.flatten(d).count() == n
+    facade_keys = [(b, f"f{k}") for b in "bc" for k in range(3)]
+    zones = spark.createDataFrame([(*k, z, 5.0, 1.0, 0, None) for k in facade_keys for z in ("A0", "A1", "A9")], "building_id string, facade_id string, zone_id string, zone_area_cm2 double, zone_vi double, defect_count int, dominant_defect_type string")
+    facades = spark.createDataFrame([(*k, "N", 1.0, 2.0, "minor") for k in facade_keys], "building_id string, facade_id string, orientation string, area_m2 double, vi_score double, vi_class string")
+    heads = spark.createDataFrame([("b", "name"), ("c", "other")], "building_id string, name string")
+    docs = reports.assemble(heads, facades, zones, defects)
+    assert sorted((r.building_id, r.facade_id) for r in docs.collect()) == facade_keys
+    assert all(len(r.facades) == 1 and len(r.facades[0]["zones"]) == 3 for r in docs.collect())
+    flat = reports.flatten(docs)
+    assert {(r.building_id, r.facade_id, r.zone_id, r.defect_id) for r in flat.collect()} == {(*w, f"d{i}") for i, w in enumerate(where)}
+    assert flat.count() == len(where)
 
 
 def test_cycle_comparison_growth_and_flags(spark):
