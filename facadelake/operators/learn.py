@@ -103,7 +103,7 @@ def upsample_plan(df: DataFrame, label: str, id_col: str, target: int = DEFAULTS
     pos = F.floor(F.lit(target) * (F.col("__pos") / F.nullif(F.col("__total"), F.lit(0))))
     wanted = F.when(F.col("__classes") == 1, F.lit(target)).when(F.col(label) == 1, pos).otherwise(F.lit(target) - pos)
     need = F.when(F.col("__total") >= target, 0).otherwise(F.greatest(F.lit(0), wanted - F.col("__n"))).cast("int")
-    # Two classes and one total: a handful of rows; the draws are fewer than ``target``.
+    # Two classes and one total: a handful of rows. The draws grow with ``target``, so their join is left to run-time figures.
     draws = (
         per_class.crossJoin(F.broadcast(totals))
         .withColumn("__need", need)
@@ -112,15 +112,15 @@ def upsample_plan(df: DataFrame, label: str, id_col: str, target: int = DEFAULTS
         .select(label, "copy_no", (F.pmod(F.xxhash64(label, "copy_no"), F.col("__n")) + 1).alias("__r"))
     )
     numbered = _by_hash(df, [label], id_col, "__r")
-    copies = numbered.join(F.broadcast(draws), [label, "__r"]).select(*df.columns, "copy_no")
+    copies = numbered.join(draws, [label, "__r"]).select(*df.columns, "copy_no")
     return df.withColumn("copy_no", F.lit(0)).unionByName(copies)
 
 
 # --- the model --------------------------------------------------------------------------------------------
 
 
-def train_filter(df: DataFrame, features: str = "scaled", label: str = "y", id_col: str = "vec_id", depths: Sequence[int] = (3, 5),
-                 trees: Sequence[int] = (20,), rates: Sequence[float] = (0.1,), forest: bool = False, seed: int = 42) -> PipelineModel:
+def train_filter(df: DataFrame, features: str = "scaled", label: str = "y", id_col: str = "vec_id", depths: Sequence[int] = (3, 5, 7),
+                 trees: Sequence[int] = (100, 200, 300), rates: Sequence[float] = (0.01, 0.1, 0.2), forest: bool = False, seed: int = 42) -> PipelineModel:
     """Boosted trees, positives weighted by the class ratio, the grid searched with stratified folds on F1."""
     balance = class_balance(df, label).first()
     k = min(5, max(2, min(balance["positives"], balance["negatives"])))

@@ -51,10 +51,12 @@ def _(t):
     return scaled.select("vec_id", F.posexplode("scaled").alias("dim", "z")).withColumn("z", F.round("z", 5))
 
 
-@query("l2_reduce_pca")
+@query("l2_reduce_pca", "SELECT vec_id, CAST(len(embedding) AS INT) AS dims, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS power FROM features_v")
 def _(t):
-    _, reduced = learn.reduce_pca(t.features, "embedding", 8)
-    return reduced.select("vec_id", F.size("reduced").alias("dims"), F.round(F.abs(F.get("reduced", 0)), 4).alias("first_abs"))
+    """All components: a turn of the space, which keeps every vector's length."""
+    width = t.features.select(F.size("embedding")).first()[0]
+    _, reduced = learn.reduce_pca(t.features, "embedding", min(128, width))
+    return reduced.select("vec_id", F.size("reduced").alias("dims"), F.round(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x), 4).alias("power"))
 
 
 @query(
@@ -67,9 +69,17 @@ def _(t):
     return out.select("vec_id", F.size("features").alias("dims"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
+
 def trained(t):
-    _, scaled = learn.standardize(t.features, "embedding")
-    return learn.train_filter(scaled, depths=(3,), trees=(5,)), scaled
+    """One model a session and folder for all queries of it; a small grid, as the queries say nothing about its quality."""
+    key = (t.spark.sparkContext.applicationId, t.root)
+    if key not in _TRAINED:
+        standard, scaled = learn.standardize(t.features, "embedding")
+        _TRAINED[key] = (learn.train_filter(scaled, depths=(3,), trees=(5,), rates=(0.1,)), standard)
+    model, standard = _TRAINED[key]
+    return model, standard.transform(t.features, "embedding", "scaled")
 
 
 @query("l4_l5_train_and_score")
@@ -78,6 +88,18 @@ def _(t):
     return learn.score(model, scaled).select("vec_id", "y", "predicted", F.round("p", 6).alias("p"))
 
 
+@query("l5_score_rules", "SELECT vec_id, true AS in_range, true AS by_threshold, true AS as_loaded FROM features_v")
+def _(t):
+    """What holds of any model: probabilities in range, the verdict by the threshold, a loaded model scores as the saved one."""
+    model, scaled = trained(t)
+    path = work_dir(t.spark, "filter")
+    learn.save_filter(model, path)
+    loaded, settings = learn.load_filter(path)
+    back = learn.score(loaded, scaled, threshold=settings["threshold"]).select("vec_id", F.col("p").alias("q"))
+    rows = learn.score(model, scaled).join(back, "vec_id")
+    return rows.select("vec_id", F.col("p").between(0, 1).alias("in_range"), (F.col("predicted") == (F.col("p") >= 0.75).cast("int")).alias("by_threshold"), (F.abs(F.col("p") - F.col("q")) < 1e-12).alias("as_loaded"))
+
+
 @query("l5_pass_through", "SELECT vec_id, 1e0 AS p, CAST(1 AS INT) AS predicted FROM features_v")
 def _(t):
     return learn.score(None, t.features).select("vec_id", "p", "predicted")

@@ -374,4 +374,4 @@ def _(t):
 
 @query("k8_top_pairs")
 def _(t):
-    return kernels.pair_detectors(detections(t, 0), detections(t, 1), limit=3).where("matched")
+    return kernels.pair_detectors(detections(t, 0), detections(t, 1), limit=12).where("matched")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from facadelake.functions import geometry as g
@@ -10,6 +11,8 @@ from facadelake.functions import rules as r
 from facadelake.operators import gates, reports
 from facadelake.plans import sqltext as s
 from facadelake.plans.registry import query, sql_view
+from facadelake.session import work_dir
+from facadelake.sources import store
 from facadelake.sources.tables import IMAGE_H, IMAGE_W
 
 sql_view("scored_v", f"SELECT *, {s.SEVERITY4} AS severity_class, {s.DEFECT_VI} AS vi FROM defects_v")
@@ -517,10 +520,11 @@ def _(t):
 
 @query("f11_retention", "SELECT count(*) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS purged FROM (SELECT ts < TIMESTAMP '2024-01-15 00:00:00' AS gone FROM requests_v) r")
 def _(t):
+    """The table written without its expired rows, which are counted in the same pass."""
     now = F.to_timestamp(F.lit("2024-01-15 00:00:00"))
-    expired = F.coalesce(F.col("expires_at") < now, F.lit(False))
-    rows = t.requests.withColumn("expires_at", F.col("ts").cast("timestamp"))
-    return rows.agg(F.count_if(~expired).alias("kept"), F.count_if(expired).alias("purged"))
+    seen, path = Observation("retention"), work_dir(t.spark, "retention")
+    store.purge_expired(t.requests.withColumn("expires_at", F.col("ts").cast("timestamp")), now, seen).write.parquet(path)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("kept")).withColumn("purged", F.lit(seen.get["purged"]).cast("long"))
 
 
 @query("f12_rebar_trigger", "SELECT defect_id FROM defects_v WHERE crack_subtype = 'corrosion_induced' OR area_cm2 >= 50")

@@ -21,9 +21,12 @@ def _flights(t):
     return path
 
 
-@query("s1_list_frames")
+@query("s1_list_frames", "SELECT CAST(flight_id AS VARCHAR) AS flight_id, '.json' AS ext, true AS filled FROM frames_v GROUP BY 1")
 def _(t):
-    return frames.list_frames(t.spark, _flights(t), exts=(".json",), recursive=True).select(F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1)).alias("ext"), "length")
+    """Extensions per flight folder, from the listing alone."""
+    found = frames.list_frames(t.spark, _flights(t), exts=(".json",), recursive=True)
+    flight = F.regexp_extract("filepath", r"flight_id=([^/]+)/", 1).alias("flight_id")
+    return found.groupBy(flight, F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1)).alias("ext")).agg(F.min(F.col("length") > 0).alias("filled"))
 
 
 @query("s15_flight_batch", "SELECT 'flight_id=' || flight_id AS flight_id FROM frames_v GROUP BY 1")

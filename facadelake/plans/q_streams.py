@@ -79,16 +79,21 @@ def _(t):
     return out.select("flight_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "frames")
 
 
+_CALLS = """SELECT *, CASE WHEN request_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, CAST(CASE WHEN request_id % 10 = 0 THEN 500 ELSE 200 END AS INT) AS status,
+  CASE WHEN request_id % 4 <> 0 THEN request_id % 3 = 0 END AS cache_hit FROM {requests}"""
+
+
 @query(
     "t6_request_metrics",
-    """SELECT epoch_us(date_trunc('hour', ts)) AS start_us, endpoint, count(*) AS requests, round(sum(latency_ms), 4) AS latency_sum, count(*) FILTER (WHERE latency_ms <= 5) AS le_5,
+    f"""SELECT epoch_us(date_trunc('hour', ts)) AS start_us, method, endpoint, status, count(*) AS requests, count(*) FILTER (WHERE cache_hit) AS cache_hits, count(*) FILTER (WHERE NOT cache_hit) AS cache_misses, round(sum(latency_ms), 4) AS latency_sum, count(*) FILTER (WHERE latency_ms <= 5) AS le_5,
          count(*) FILTER (WHERE latency_ms <= 25) AS le_25, count(*) FILTER (WHERE latency_ms <= 100) AS le_100, count(*) FILTER (WHERE latency_ms <= 500) AS le_500
-       FROM requests_v GROUP BY 1, 2 HAVING epoch_us(date_trunc('hour', min(ts))) + 3600000000 <= (SELECT epoch_ms(max(ts)) FROM requests_v) * 1000""",
+       FROM ({_CALLS.format(requests='requests_v')}) c GROUP BY 1, 2, 3, 4 HAVING epoch_us(date_trunc('hour', min(ts))) + 3600000000 <= (SELECT epoch_ms(max(ts)) FROM requests_v) * 1000""",
 )
 def _(t):
     """Windows closed by the end of the data."""
-    out = _appended(t, jobs.request_metrics(sinks.event_time(_events(t, REQUESTS)), "1 hour", late="0 seconds"), "metrics")
-    return out.select(F.unix_micros("window_start").alias("start_us"), "endpoint", "requests", F.round("latency_sum", 4).alias("latency_sum"), "le_5", "le_25", "le_100", "le_500")
+    calls = sinks.event_time(t.spark.sql(_CALLS, requests=_events(t, REQUESTS)))
+    out = _appended(t, jobs.request_metrics(calls, "1 hour", late="0 seconds"), "metrics")
+    return out.select(F.unix_micros("window_start").alias("start_us"), "method", "endpoint", "status", "requests", "cache_hits", "cache_misses", F.round("latency_sum", 4).alias("latency_sum"), "le_5", "le_25", "le_100", "le_500")
 
 
 @query(

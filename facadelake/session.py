@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,22 +45,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return tune(spark)
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written intermediates, below the shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str | None:
+    """The shared folder that a cluster names in ``spark.checkpoint.dir``; None on one machine, as in tests.
 
-    A cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset, as in
-    tests, a temporary folder of this machine is used.
+    On a cluster without it this fails: a temporary folder of the driver is not one that executors see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.conf.get("spark.master", None) or spark.sparkContext.master
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+    return root or None
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written intermediates, below the shared folder; on one machine a temporary folder."""
+    root = shared_root(spark)
     if not root:
         return tempfile.mkdtemp(prefix=f"facadelake-{purpose}-")
-    import uuid
-
     return f"{root.rstrip('/')}/facadelake/{purpose}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """``DataFrame.checkpoint`` needs a folder: the cluster's where it names one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        root = shared_root(spark)
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="facadelake-checkpoint-"))

@@ -18,13 +18,14 @@ from .sinks import each_batch, use_rocksdb
 
 
 class _SlidingWindow(StatefulProcessor):
-    """State: the instants of the last window, seldom more than a client's traffic in it."""
+    """State: the instants of the last window, seldom more than a client's traffic in it. A client that was idle for a window is
+    forgotten when the watermark says so."""
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window = limit, window_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t long")
+        self.handle, self.times = handle, handle.getListState("times", "t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         from collections import deque
@@ -40,31 +41,45 @@ class _SlidingWindow(StatefulProcessor):
             known.append(t)
         if known:
             self.times.put([(t,) for t in known])
+            self.handle.registerTimer((known[-1] + self.window) // 1000 + 1)
         if out:
             yield pd.DataFrame({"client_id": key[0], "t": [o[0] for o in out], "earlier": [o[1] for o in out], "admitted": [o[2] for o in out]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        left = [t for (t,) in self.times.get()]
+        if left and max(left) + self.window <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.times.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def admission_stream(requests: DataFrame, limit: int = 120, window_s: int = 60) -> DataFrame:
-    """Sliding-window admission online; equal to the batch form when batches arrive in time order."""
+def _timed(requests: DataFrame, late: str, *columns: str) -> DataFrame:
+    rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return rows.select(*columns, "ts", F.unix_micros("ts").alias("t"))
+
+
+def admission_stream(requests: DataFrame, limit: int = 120, window_s: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Sliding-window admission online; equal to the batch form when batches arrive in time order. Requests more than ``late``
+    behind the stream are not counted."""
     use_rocksdb(requests.sparkSession)
-    rows = requests.select("client_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = _timed(requests, late, "client_id")
     kind = dict(requests.dtypes)["client_id"]
     return rows.groupBy("client_id").transformWithStateInPandas(
-        statefulProcessor=_SlidingWindow(limit, window_s), outputStructType=f"client_id {kind}, t long, earlier long, admitted boolean", outputMode="Append", timeMode="None"
+        statefulProcessor=_SlidingWindow(limit, window_s), outputStructType=f"client_id {kind}, t long, earlier long, admitted boolean", outputMode="Append", timeMode="EventTime"
     )
 
 
 class _TokenBucket(StatefulProcessor):
-    """State: tokens left and the time of the last request."""
+    """State: tokens left and the time of the last request. After the time that fills any bucket the client is forgotten: a full
+    bucket is what a new client has."""
 
     def __init__(self, cap: float, rate: float):
         self.cap, self.rate = cap, rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, last long")
+        self.handle, self.bucket = handle, handle.getValueState("bucket", "tokens double, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
@@ -72,19 +87,29 @@ class _TokenBucket(StatefulProcessor):
         names = [key[0]] * len(batch)
         _, state, admitted, left = fold_tokens(key[0] if had else None, (had[0], had[1]) if had else None, names, batch["t"].tolist(), self.cap, self.rate)
         self.bucket.update((float(state[0]), int(state[1])))
+        self.handle.registerTimer(self._full(int(state[1])))
         yield pd.DataFrame({"client_id": key[0], "request_id": batch["request_id"].to_numpy(), "admitted": admitted, "tokens_left": left})
 
+    def _full(self, last: int) -> int:
+        return int(last / 1000 + 1000 * self.cap / self.rate) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.bucket.exists() and self._full(int(self.bucket.get()[1])) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.bucket.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def token_bucket_stream(requests: DataFrame, cap: float, rate: float) -> DataFrame:
+def token_bucket_stream(requests: DataFrame, cap: float, rate: float, late: str = "10 minutes") -> DataFrame:
+    """Token-bucket admission online, with the same rule for late requests as ``admission_stream``."""
     use_rocksdb(requests.sparkSession)
-    rows = requests.select("client_id", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = _timed(requests, late, "client_id", "request_id")
     kinds = dict(requests.dtypes)
     schema = f"client_id {kinds['client_id']}, request_id {kinds['request_id']}, admitted boolean, tokens_left double"
     return rows.groupBy("client_id").transformWithStateInPandas(
-        statefulProcessor=_TokenBucket(cap, rate), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_TokenBucket(cap, rate), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -110,13 +135,18 @@ def flight_sessions(frames: DataFrame, gap: str, late: str = "10 minutes") -> Da
 
 
 def request_metrics(requests: DataFrame, window: str, late: str = "10 minutes", edges: tuple[float, ...] = (5.0, 25.0, 100.0, 500.0)) -> DataFrame:
-    """Requests per window and endpoint, with a latency histogram of cumulative bucket counts."""
+    """Requests per window, method, endpoint and status, with cache hits and misses (a null ``cache_hit`` is neither) and a latency
+    histogram of cumulative bucket counts."""
+    keys = ["method", "endpoint", "status"]
     buckets = [F.count_if(F.col("latency_ms") <= e).alias(f"le_{int(e)}") for e in edges]
     return (
         requests.withWatermark("ts", late)
-        .groupBy(F.window("ts", window).alias("w"), "endpoint")
-        .agg(F.count(F.lit(1)).alias("requests"), F.sum("latency_ms").alias("latency_sum"), *buckets)
-        .select(F.col("w.start").alias("window_start"), "endpoint", "requests", "latency_sum", *[f"le_{int(e)}" for e in edges])
+        .groupBy(F.window("ts", window).alias("w"), *keys)
+        .agg(
+            F.count(F.lit(1)).alias("requests"), F.sum("latency_ms").alias("latency_sum"), F.count_if("cache_hit").alias("cache_hits"),
+            F.count_if(~F.col("cache_hit")).alias("cache_misses"), *buckets,
+        )
+        .select(F.col("w.start").alias("window_start"), *keys, "requests", "latency_sum", "cache_hits", "cache_misses", *[f"le_{int(e)}" for e in edges])
     )
 
 
