@@ -30,6 +30,7 @@ from facadelake.llm.interning import Interner
 # Ids per word and their width, selectors 1 to 14.
 PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 0
+SMALL_WIDTHS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], np.uint8)  # bits of small values
 HEADER = struct.Struct("<4sIIII")  # mark, values, words, escapes, documents
 MARK = b"S8B1"
 BLOCK_IDS = 1 << 16
@@ -45,21 +46,23 @@ CACHE = 900_000  # words whose ids a worker keeps
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of unsigned 64-bit values; each word takes as many values as fit."""
     n = len(values)
-    width = np.zeros(n, np.uint8)  # bits of every value, 1 at least
-    for b in (32, 16, 8, 4, 2, 1):
-        width += np.where((values >> width.astype(np.uint64)) >> np.uint64(b) > 0, b, 0).astype(np.uint8)
-    width += 1
+    if n and values.max() < len(SMALL_WIDTHS):
+        width = SMALL_WIDTHS[values]
+    else:
+        width = np.zeros(n, np.uint8)
+        for b in (32, 16, 8, 4, 2, 1):
+            width += np.where((values >> width.astype(np.uint64)) >> np.uint64(b) > 0, b, 0).astype(np.uint8)
+        width += 1
     selector = np.zeros(n, np.uint8)
+    # From one value a word to sixty: where so many values from here fit, that packing is taken.
     for s, (count, bits) in reversed(list(enumerate(PACKINGS, 1))):
         fits = width <= bits
-        if count > 1:
-            if n < count:
-                continue
-            runs = np.concatenate([[0], np.cumsum(fits, dtype=np.int64)])
-            whole = runs[count:] - runs[:-count] == count
-            selector[: n - count + 1][whole] = s
-        else:
+        if count == 1:
             selector[fits] = s
+        elif n >= count and int(np.count_nonzero(fits)) >= count:
+            runs = np.zeros(n + 1, np.int32)
+            np.cumsum(fits, out=runs[1:])
+            selector[: n - count + 1][runs[count:] - runs[:-count] == count] = s
     counts = np.array([1, *(c for c, _ in PACKINGS)])[selector].tolist()
     at, i = [], 0
     while i < n:
@@ -211,7 +214,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ``start``: ids of all documents before it, over all shards; ``ids``: little-endian unsigned 32-bit integers.
     """
     blocks = spark.read.schema("shard int, block int, start long, n_ids long, doc_ids array<long>, payload binary").parquet(path)
-    # One row per shard: as many as the range partitions of the writer, whatever the number of documents.
+    # One row per shard: as many as the range partitions of the writer, whatever the number of documents. So it is broadcast.
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = before.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
@@ -225,7 +228,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                      "ids": pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())}
                 )
 
-    joined = blocks.join(before, "shard").select((F.col("start") + F.col("base")).alias("start"), "doc_ids", "payload")
+    joined = blocks.join(F.broadcast(before), "shard").select((F.col("start") + F.col("base")).alias("start"), "doc_ids", "payload")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
