@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The document's enumerations, required keys and allowed keys per level.
+# The document's enumerations.
 DEFECT_TYPES = [
     "crack", "spalling", "corrosion", "water_seepage", "efflorescence", "plaster_detachment", "structural_displacement", "stain",
     "flexural_crack", "shear_crack", "settlement_crack", "shrinkage_crack", "compression_crack", "corrosion_crack", "fatigue_crack",
@@ -17,98 +17,151 @@ SEVERITIES = ["hairline", "fine", "medium", "wide"]
 VI_CLASSES = ["minor", "moderate", "significant", "severe", "critical"]
 ORIENTATIONS = ["N", "S", "E", "W", "NE", "NW", "SE", "SW"]
 STATUSES = ["new", "propagated", "resolved", "uncertain"]
+# Fields of each kind of object with type, rule and bound; a type that ends in ? may be null. Fields named in
+# REQUIRED must be there, others may; no further keys except where OPEN says so.
+FIELDS = {
+    "root": [
+        ("schema_version", "string", "enum", ["1.0.0"]), ("generated_at", "string", "format", "date-time"), ("pipeline_config_hash", "string", None, None),
+        ("buildings", "array", None, "building"),
+    ],
+    "building": [
+        ("id", "string", None, None), ("name", "string", None, None), ("address", "string", None, None), ("gps_centroid", "object", None, "gps"),
+        ("inspection_date", "string", "format", "date"), ("inspector_module_version", "string", None, None), ("cycle_number", "integer", "min", 1.0),
+        ("facades", "array", None, "facade"), ("temporal_comparison", "object", None, "temporal_comparison"),
+    ],
+    "facade": [
+        ("id", "string", None, None), ("orientation", "string", "enum", ORIENTATIONS), ("area_m2", "number", "min", 0.0), ("vi_score", "number", "range", (0.0, 100.0)),
+        ("vi_class", "string", "enum", VI_CLASSES), ("mosaic_path", "string", None, None), ("enhancement_params", "object", None, "enhancement_params"), ("zones", "array", None, "zone"),
+    ],
+    "zone": [
+        ("grid_id", "string", "pattern", "^[A-Z][0-9]+$"), ("zone_area_cm2", "number", "min", 0.0), ("zone_vi", "number", "range", (0.0, 100.0)), ("defect_count", "integer", "min", 0.0),
+        ("dominant_defect_type", "string?", "enum", DEFECT_TYPES), ("defects", "array", None, "defect"),
+    ],
+    "defect": [
+        ("defect_id", "string", "pattern", "^[a-zA-Z0-9_-]+$"), ("type", "string", "enum", DEFECT_TYPES), ("length_cm", "number?", "min", 0.0), ("width_mm", "number?", "min", 0.0),
+        ("area_cm2", "number", "min", 0.0), ("centroid_gps", "object", None, "gps"), ("centroid_px", "object", None, "pixel"), ("severity_class", "string", "enum", SEVERITIES),
+        ("vi_contribution", "number", "min", 0.0), ("confidence_score", "number", "range", (0.0, 1.0)), ("image_crop_path", "string?", None, None), ("is_false_positive", "boolean", None, None),
+        ("fp_confidence", "number?", "range", (0.0, 1.0)), ("temporal_status", "string", "enum", STATUSES), ("parent_defect_id", "string?", None, None), ("delta_length_cm", "number?", None, None),
+        ("delta_width_mm", "number?", None, None), ("delta_area_cm2", "number?", None, None), ("growth_rate_mm_per_month", "number?", None, None), ("visible_bar_diameter_mm", "number?", None, None),
+        ("estimated_cover_loss_mm", "number?", None, None), ("capacity_reduction_pct", "number?", None, None), ("orientation_angle", "number?", None, None),
+        ("propagation_rate", "string?", "enum", ["dormant", "active", "aggressive"]), ("delamination_area_m2", "number?", None, None), ("grid_reference", "string?", None, None),
+        ("member_type", "string?", None, None), ("recommended_intervention", "string?", None, None), ("reinspection_date", "string?", None, None),
+    ],
+    "gps": [("lat", "number", "range", (-90.0, 90.0)), ("lon", "number", "range", (-180.0, 180.0))],
+    "pixel": [("x", "integer", "min", 0.0), ("y", "integer", "min", 0.0)],
+    "temporal_comparison": [
+        ("comparison_cycle", "integer", None, None), ("delta_vi", "number", None, None), ("new_defects_count", "integer", None, None), ("propagated_defects_count", "integer", None, None),
+    ],
+    "enhancement_params": [
+        ("clahe_clip_limit", "number", None, None), ("clahe_tile_size", "integers", "length", 2), ("gaussian_kernel_size", "integers", "length", 2), ("gaussian_sigma", "number", None, None),
+    ],
+}
 REQUIRED = {
     "root": ["schema_version", "generated_at", "pipeline_config_hash", "buildings"],
     "building": ["id", "name", "address", "gps_centroid", "inspection_date", "inspector_module_version", "cycle_number", "facades"],
     "facade": ["id", "orientation", "area_m2", "vi_score", "vi_class", "mosaic_path", "enhancement_params", "zones"],
     "zone": ["grid_id", "zone_area_cm2", "zone_vi", "defect_count", "dominant_defect_type", "defects"],
     "defect": ["defect_id", "type", "area_cm2", "centroid_gps", "centroid_px", "severity_class", "vi_contribution", "confidence_score", "is_false_positive"],
+    "gps": ["lat", "lon"],
+    "pixel": ["x", "y"],
+    "temporal_comparison": ["comparison_cycle", "delta_vi", "new_defects_count", "propagated_defects_count"],
+    "enhancement_params": [],
 }
-OPTIONAL = {
-    "root": [],
-    "building": ["temporal_comparison"],
-    "facade": [],
-    "zone": [],
-    "defect": [
-        "length_cm", "width_mm", "image_crop_path", "fp_confidence", "temporal_status", "parent_defect_id", "delta_length_cm", "delta_width_mm",
-        "delta_area_cm2", "growth_rate_mm_per_month", "visible_bar_diameter_mm", "estimated_cover_loss_mm", "capacity_reduction_pct", "orientation_angle",
-        "propagation_rate", "delamination_area_m2", "grid_reference", "member_type", "recommended_intervention", "reinspection_date",
-    ],
-}
-# Field, kind, bound. Fields that are absent or null are judged by REQUIRED alone.
-FIELD_RULES = {
-    "root": [("schema_version", "enum", ["1.0.0"])],
-    "building": [("cycle_number", "min", 1.0)],
-    "facade": [("orientation", "enum", ORIENTATIONS), ("vi_class", "enum", VI_CLASSES), ("area_m2", "min", 0.0), ("vi_score", "range", (0.0, 100.0))],
-    "zone": [
-        ("grid_id", "pattern", "^[A-Z][0-9]+$"), ("zone_area_cm2", "min", 0.0), ("zone_vi", "range", (0.0, 100.0)), ("defect_count", "min", 0.0),
-        ("dominant_defect_type", "enum", DEFECT_TYPES),
-    ],
-    "defect": [
-        ("defect_id", "pattern", "^[a-zA-Z0-9_-]+$"), ("type", "enum", DEFECT_TYPES), ("severity_class", "enum", SEVERITIES), ("temporal_status", "enum", STATUSES),
-        ("propagation_rate", "enum", ["dormant", "active", "aggressive"]), ("length_cm", "min", 0.0), ("width_mm", "min", 0.0), ("area_cm2", "min", 0.0),
-        ("vi_contribution", "min", 0.0), ("confidence_score", "range", (0.0, 1.0)), ("fp_confidence", "range", (0.0, 1.0)),
-        ("centroid_gps.lat", "range", (-90.0, 90.0)), ("centroid_gps.lon", "range", (-180.0, 180.0)), ("centroid_px.x", "min", 0.0), ("centroid_px.y", "min", 0.0),
-    ],
-}
+OPEN = {"enhancement_params"}
 CHILD = {"root": ("buildings", "building"), "building": ("facades", "facade"), "facade": ("zones", "zone"), "zone": ("defects", "defect")}
+KINDS = {"string": "STRING", "boolean": "BOOLEAN", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "integer": "(BIGINT|DECIMAL\\(\\d+,0\\))"}
+FORMATS = {"date": ("^\\d{4}-\\d{2}-\\d{2}$", "date"), "date-time": ("^\\d{4}-\\d{2}-\\d{2}[Tt ]\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?([Zz]|[+-]\\d{2}:\\d{2})$", "timestamp")}
+
+
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _broken(value: Column, rule: str, bound) -> Column:
+    """Whether a value of the right type breaks its rule."""
+    if rule in ("enum", "pattern", "format"):
+        text = _as(value, "string")
+        if rule == "enum":
+            return ~text.isin(*bound)
+        if rule == "pattern":
+            return ~text.rlike(bound)
+        pattern, kind = FORMATS[bound]
+        return ~text.rlike(pattern) | text.try_cast(kind).isNull()
+    if rule == "length":
+        return F.size(_as(value, "array<variant>")) != bound
+    number = _as(value, "double")
+    return number < bound if rule == "min" else (number < bound[0]) | (number > bound[1])
+
+
+def _object_faults(value: Column, kind: str, level: str, prefix: str = "") -> Column:
+    """All broken rules of an object and of the objects that are its fields, as ``array<struct<level, rule, field>>``."""
+
+    def fault(rule: str, field: Column | str) -> Column:
+        named = F.lit(prefix + field) if isinstance(field, str) else F.concat(F.lit(prefix), field)
+        return F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"), named.alias("field"))
+
+    none = F.array().cast("array<struct<level:string,rule:string,field:string>>")
+    names = [f[0] for f in FIELDS[kind]]
+    lists = []
+    if kind not in OPEN:
+        lists.append(F.transform(F.array_except(F.map_keys(_as(value, "map<string,variant>")), F.array(*map(F.lit, names))), lambda k: fault("unknown key", k)))
+    single = []
+    for name, type_, rule, bound in FIELDS[kind]:
+        own = F.try_variant_get(value, f"$.{name}", "variant")
+        nullable, base = type_.endswith("?"), type_.rstrip("?")
+        if name in REQUIRED[kind]:
+            single.append(F.when(own.isNull(), fault("required", name)))
+        if base == "array":
+            items = _as(own, "array<variant>")
+            single.append(F.when(own.isNotNull() & items.isNull(), fault("type", name)))
+            lists.append(F.coalesce(F.transform(F.filter(items, lambda x: ~_is_object(x)), lambda x: fault("type", f"{name}[]")), none))
+        elif base == "object":
+            single.append(F.when(own.isNotNull() & ~_is_object(own), fault("type", name)))
+            lists.append(F.when(_is_object(own), _object_faults(own, bound, level, f"{prefix}{name}.")).otherwise(none))
+        else:
+            if base == "integers":
+                items = _as(own, "array<variant>")
+                typed = F.coalesce(F.forall(items, lambda x: F.schema_of_variant(x).rlike(f"^{KINDS['integer']}$")), F.lit(False))
+            else:
+                typed = F.schema_of_variant(own).rlike(f"^{KINDS[base]}$")
+            bad = F.when(~typed, fault("type", name))
+            if rule:
+                bad = bad.when(_broken(own, rule, bound), fault(rule, name))
+            there = own.isNotNull() & ~F.is_variant_null(own) if nullable else own.isNotNull()
+            single.append(F.when(there, bad))
+    return F.concat(*lists, F.array_compact(F.array(*single)))
 
 
-def document_objects(documents: DataFrame, key: str, column: str = "json") -> DataFrame:
-    """Every object of nested documents with its level: the children of a level are split off as JSON text,
-    so that unknown keys and wrong types reach the checks."""
-    level, current = "root", documents.select(key, F.col(column).alias("json"))
-    out = current.withColumn("level", F.lit("root"))
-    while level in CHILD:
-        name, below = CHILD[level]
-        current = current.select(key, F.explode(F.from_json("json", f"struct<{name}:array<string>>")[name]).alias("json"))
-        out = out.unionByName(current.withColumn("level", F.lit(below)))
-        level = below
-    return out
+def check_documents(documents: DataFrame, key: str, column: str = "json") -> DataFrame:
+    """One row per broken rule: key, level, rule and field.
 
+    Each document is parsed once, into a variant; its objects are listed level by level and checked in place: one scan, no shuffle.
+    What isn't a JSON object is ``malformed``.
+    """
+    parsed = documents.select(key, F.try_parse_json(column).alias("doc")).withColumn("ok", F.coalesce(_is_object(F.col("doc")), F.lit(False)))
+    levels = ["root"]
+    rows = parsed.withColumn("root", F.when(F.col("ok"), F.array("doc")).otherwise(F.array().cast("array<variant>")))
+    while levels[-1] in CHILD:
+        name, below = CHILD[levels[-1]]
+        rows = rows.withColumn(below, F.flatten(F.transform(levels[-1], _objects(name))))
+        levels.append(below)
+    whole = F.struct(F.lit("root").alias("level"), F.lit("malformed").alias("rule"), F.lit("").alias("field"))
+    rows = rows.withColumns({f"{x}_faults": F.flatten(F.transform(x, _faults_of(x))) for x in levels})
+    faults = F.when(F.col("ok"), F.concat(*(f"{x}_faults" for x in levels))).otherwise(F.array(whole))
+    return rows.select(key, F.explode(faults).alias("v")).select(key, "v.*")
 
-def _broken(text: Column, kind: str, bound) -> Column:
-    number = text.try_cast("double")
-    if kind == "enum":
-        return ~text.isin(*bound)
-    if kind == "pattern":
-        return ~text.rlike(bound)
-    if kind == "min":
-        return number.isNull() | (number < bound)
-    return number.isNull() | (number < bound[0]) | (number > bound[1])
 
+def _is_object(value: Column) -> Column:
+    return _as(value, "map<string,variant>").isNotNull()
 
-def check_documents(documents: DataFrame, key: str, column: str = "json") -> DataFrame:
-    """One row per broken rule: key, level, rule and field."""
-    objects = document_objects(documents, key, column).withColumn("keys", F.json_object_keys("json"))
-    result = objects.where("level = 'root' AND keys IS NULL").select(
-        key, "level", F.lit("malformed").alias("rule"), F.lit("").alias("field")
-    )
-    for level, required in REQUIRED.items():
-        rows = objects.where((F.col("level") == level) & F.col("keys").isNotNull()).withColumn("o", F.from_json("json", _text_schema(level)))
-        have = F.array(*[F.lit(k) for k in required])
-        allowed = F.array(*[F.lit(k) for k in [*required, *OPTIONAL[level]]])
-        missing = F.transform(F.array_except(have, "keys"), lambda k: F.struct(F.lit("required").alias("rule"), k.alias("field")))
-        unknown = F.transform(F.array_except("keys", allowed), lambda k: F.struct(F.lit("unknown key").alias("rule"), k.alias("field")))
-        fields = []
-        for name, kind, bound in FIELD_RULES[level]:
-            text = F.col(f"o.{name}")
-            note = F.struct(F.lit(kind).alias("rule"), F.lit(name).alias("field"))
-            fields.append(F.when(text.isNotNull() & _broken(text, kind, bound), note))
-        found = rows.select(key, "level", F.explode(F.concat(missing, unknown, F.array_compact(F.array(*fields)))).alias("v")).select(key, "level", "v.*")
-        result = result.unionByName(found)
-    return result
-
-
-def _text_schema(level: str) -> str:
-    """All checked fields of a level as text, so that one parse serves every rule."""
-    flat = [name for name, _, _ in FIELD_RULES[level] if "." not in name]
-    nested: dict[str, list[str]] = {}
-    for name, _, _ in FIELD_RULES[level]:
-        if "." in name:
-            nested.setdefault(name.split(".")[0], []).append(name.split(".")[1])
-    parts = [f"{n}:string" for n in flat] + [f"{k}:struct<{','.join(f'{f}:string' for f in v)}>" for k, v in nested.items()]
-    return f"struct<{','.join(parts)}>"
+
+def _objects(name: str) -> Callable[[Column], Column]:
+    """The objects in a field of an object, none if it isn't an array."""
+    return lambda x: F.coalesce(F.filter(F.try_variant_get(x, f"$.{name}", "array<variant>"), _is_object), F.array().cast("array<variant>"))
+
+
+def _faults_of(level: str) -> Callable[[Column], Column]:
+    return lambda x: _object_faults(x, level, level)
 
 
 def violations(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -294,7 +294,16 @@ def check_documents_input(t):
     root = F.struct(
         F.when(n == 7, "0.9").otherwise("1.0.0").alias("schema_version"), F.lit("2024-01-01T00:00:00Z").alias("generated_at"), F.lit("ab").alias("pipeline_config_hash"), F.array(building).alias("buildings"),
     )
-    return t.defects.select("defect_id", F.to_json(root).alias("json"))
+    json, k = F.to_json(root), F.col("part_no") % 30
+    # Faults that change a value's type or the keys of an object.
+    for case, old, new in (
+        (1, '"lat":1.0', '"lat":500.0'), (2, '"2024-01-01"', '"nope"'), (3, '"2024-01-01T00:00:00Z"', '"not a date"'), (4, '"cycle_number":1', '"cycle_number":1.5'),
+        (5, '"facades":', '"temporal_comparison":{"comparison_cycle":1,"bogus":2},"facades":'), (6, ',"lon":87.3', ""), (7, '"lat":22.3', '"lat":22.3,"alt":1'),
+        (8, '"clahe_clip_limit":2.0', '"clahe_clip_limit":2.0,"clahe_tile_size":[8,8,8],"extra":1'), (9, '"is_false_positive":', '"is_false_positive":0,"fp_confidence":'),
+        (11, '"area_m2":1.0', '"area_m2":"1.0"'), (12, '"zones":[', '"zones":[7,'), (13, '"mosaic_path":"m.png"', '"mosaic_path":null'),
+    ):
+        json = F.replace(json, F.when(k == case, old).otherwise("\0"), F.lit(new))
+    return t.defects.select("defect_id", json.alias("json"))
 
 
 @query(
@@ -305,7 +314,16 @@ def check_documents_input(t):
          CASE WHEN line_no = 4 THEN {level: 'zone', rule: 'pattern', field: 'grid_id'} END, CASE WHEN line_no = 3 THEN {level: 'defect', rule: 'pattern', field: 'defect_id'} END,
          CASE WHEN line_no = 2 THEN {level: 'defect', rule: 'required', field: 'area_cm2'} END, CASE WHEN line_no = 1 THEN {level: 'defect', rule: 'unknown key', field: 'bbox_px'} END,
          CASE WHEN severity_b <> 'hairline' THEN {level: 'defect', rule: 'enum', field: 'severity_class'} END, CASE WHEN supp_no = 5 THEN {level: 'defect', rule: 'range', field: 'confidence_score'} END,
-         CASE WHEN part_no % 40 = 0 THEN {level: 'defect', rule: 'range', field: 'centroid_gps.lon'} END], lambda x: x IS NOT NULL)) AS v FROM defects_v) u GROUP BY 1, 2, 3""",
+         CASE WHEN part_no % 40 = 0 THEN {level: 'defect', rule: 'range', field: 'centroid_gps.lon'} END,
+         CASE WHEN part_no % 30 = 1 THEN {level: 'building', rule: 'range', field: 'gps_centroid.lat'} END, CASE WHEN part_no % 30 = 2 THEN {level: 'building', rule: 'format', field: 'inspection_date'} END,
+         CASE WHEN part_no % 30 = 3 THEN {level: 'root', rule: 'format', field: 'generated_at'} END, CASE WHEN part_no % 30 = 4 AND part_no % 50 <> 0 THEN {level: 'building', rule: 'type', field: 'cycle_number'} END,
+         CASE WHEN part_no % 30 = 5 THEN {level: 'building', rule: 'unknown key', field: 'temporal_comparison.bogus'} END, CASE WHEN part_no % 30 = 5 THEN {level: 'building', rule: 'required', field: 'temporal_comparison.delta_vi'} END,
+         CASE WHEN part_no % 30 = 5 THEN {level: 'building', rule: 'required', field: 'temporal_comparison.new_defects_count'} END,
+         CASE WHEN part_no % 30 = 5 THEN {level: 'building', rule: 'required', field: 'temporal_comparison.propagated_defects_count'} END,
+         CASE WHEN part_no % 30 = 6 AND part_no % 40 <> 0 THEN {level: 'defect', rule: 'required', field: 'centroid_gps.lon'} END, CASE WHEN part_no % 30 = 7 THEN {level: 'defect', rule: 'unknown key', field: 'centroid_gps.alt'} END,
+         CASE WHEN part_no % 30 = 8 THEN {level: 'facade', rule: 'length', field: 'enhancement_params.clahe_tile_size'} END, CASE WHEN part_no % 30 = 9 THEN {level: 'defect', rule: 'type', field: 'is_false_positive'} END,
+         CASE WHEN part_no % 30 = 9 THEN {level: 'defect', rule: 'type', field: 'fp_confidence'} END, CASE WHEN part_no % 30 = 11 THEN {level: 'facade', rule: 'type', field: 'area_m2'} END,
+         CASE WHEN part_no % 30 = 12 THEN {level: 'facade', rule: 'type', field: 'zones[]'} END, CASE WHEN part_no % 30 = 13 THEN {level: 'facade', rule: 'type', field: 'mosaic_path'} END], lambda x: x IS NOT NULL)) AS v FROM defects_v) u GROUP BY 1, 2, 3""",
 )
 def _(t):
     return quality.check_documents(check_documents_input(t), "defect_id").groupBy("level", "rule", "field").agg(F.count(F.lit(1)).alias("n"))

@@ -140,7 +140,7 @@ def test_admission_stream_over_several_batches(spark, tmp_path):
 def test_document_checks(spark):
     df = spark.createDataFrame([(1, "{bad"), (2, '{"schema_version":"1.0.0","generated_at":"x","pipeline_config_hash":"y","buildings":[],"extra":1}'), (3, '{"buildings":[]}')], "id int, json string")
     got = {(x["id"], x["rule"], x["field"]) for x in quality.check_documents(df, "id").collect()}
-    assert got == {(1, "malformed", ""), (2, "unknown key", "extra"), (3, "required", "schema_version"), (3, "required", "generated_at"), (3, "required", "pipeline_config_hash")}
+    assert got == {(1, "malformed", ""), (2, "unknown key", "extra"), (2, "format", "generated_at"), (3, "required", "schema_version"), (3, "required", "generated_at"), (3, "required", "pipeline_config_hash")}
 
 
 def test_class_balance_needs_both(spark):
