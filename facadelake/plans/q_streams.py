@@ -60,9 +60,8 @@ _UPDATE = """SELECT client_id * 10 + request_id % 10 AS job_id, request_id AS up
 def _(t):
     updates = sinks.event_time(t.spark.sql(_UPDATE, requests=_events(t, REQUESTS)))
     out = work_dir(t.spark, "progress")
-    _finish(t, sinks.update_files(jobs.job_progress(updates), f"{out}/data", f"{out}/checkpoint"))
-    rows = sinks.read_updates(t.spark, f"{out}/data", ["job_id"])
-    return rows.select("job_id", "status", "progress_pct", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"))
+    _finish(t, sinks.update_files(jobs.job_progress_stream(updates), f"{out}/data", f"{out}/checkpoint"))
+    return sinks.read_updates(t.spark, f"{out}/data", ["job_id"])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -55,7 +55,10 @@ class _SlidingWindow(StatefulProcessor):
         pass
 
 
-def _timed(requests: DataFrame, late: str, *columns: str) -> DataFrame:
+ENDED = ("succeeded", "failed", "cancelled")
+
+
+def _timed(requests: DataFrame, late: str, *columns: str | Column) -> DataFrame:
     rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.select(*columns, "ts", F.unix_micros("ts").alias("t"))
 
@@ -114,13 +117,65 @@ def token_bucket_stream(requests: DataFrame, cap: float, rate: float, late: str
 
 
 def job_progress(updates: DataFrame) -> DataFrame:
-    """State of each job, the same for a batch and, in update mode, for a stream: last status and percent,
-    the first start, the last end. Incremental aggregates; no group is held."""
+    """State of each job of a table of updates: last status and percent, the first start, the last end. Incremental aggregates; no
+    group is held. ``job_progress_stream`` is the form for streams."""
     order = F.struct("ts", "update_id")
     return updates.groupBy("job_id").agg(
         F.max_by("status", order).alias("status"), F.max_by("progress_pct", order).alias("progress_pct"),
         F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
-        F.max(F.when(F.col("status").isin("succeeded", "failed", "cancelled"), F.col("ts"))).alias("completed_at"),
+        F.max(F.when(F.col("status").isin(*ENDED), F.col("ts"))).alias("completed_at"),
+    )
+
+
+class _JobProgress(StatefulProcessor):
+    """State: a job's last update, first start and last end; it goes a while after the job's end."""
+
+    def __init__(self, keep_s: int):
+        self.keep = keep_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "t long, update_id long, status string, progress_pct int, started long, completed long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, started, completed = None, None, None
+        if self.job.exists():
+            t, update_id, status, pct, started, completed = self.job.get()
+            last = (t, update_id, status, pct)
+        # Batch by batch: only what a batch adds to the state is kept.
+        for b in rows:
+            top = b.loc[b["t"] == b["t"].max()].sort_values("update_id").iloc[-1]
+            mine = (int(top["t"]), int(top["update_id"]), top["status"], int(top["progress_pct"]))
+            last = mine if last is None or mine[:2] > last[:2] else last
+            runs, ends = b.loc[b["status"] == "running", "t"], b.loc[b["status"].isin(ENDED), "t"]
+            if len(runs):
+                started = min(int(runs.min()), started if started is not None else int(runs.min()))
+            if len(ends):
+                completed = max(int(ends.max()), completed or 0)
+        self.job.update((*last, started, completed))
+        if completed is not None:
+            self.handle.registerTimer(completed // 1000 + self.keep)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [last[2]], "progress_pct": [last[3]], "started_us": [started], "completed_us": [completed]}).astype(
+            {"started_us": "Int64", "completed_us": "Int64"}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.job.exists() and self.job.get()[5] // 1000 + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+            self.job.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def job_progress_stream(updates: DataFrame, keep_s: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """``job_progress`` online: the changed jobs of every batch, their times in microseconds. A job is forgotten ``keep_s`` after its end
+    by the stream's watermark; an update after that begins it anew."""
+    use_rocksdb(updates.sparkSession)
+    rows = _timed(updates, late, "job_id", F.col("update_id").cast("long").alias("update_id"), "status", F.col("progress_pct").cast("int").alias("progress_pct"))
+    kind = dict(updates.dtypes)["job_id"]
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_JobProgress(keep_s), outputStructType=f"job_id {kind}, status string, progress_pct int, started_us long, completed_us long", outputMode="Update", timeMode="EventTime"
     )
 
 
