@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facadelake.config import DEFAULTS
 from facadelake.functions.geometry import col
@@ -21,12 +24,17 @@ def counts_from_text(c) -> Column:
     return F.transform(F.split(F.trim(col(c)), r"\s+"), lambda x: x.cast("int"))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _running_sums(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda c: None if c is None else np.cumsum(np.nan_to_num(np.asarray(c, float)).astype(np.int64)))
+
+
 def run_ends(masks: DataFrame) -> DataFrame:
-    """Position, length and end of each run of a ``counts`` array. The group of the running sum is the
-    array of one row, so it is no larger than what a row can hold."""
-    runs = masks.select(*[c for c in masks.columns if c != "counts"], F.posexplode("counts").alias("pos", "n"))
-    so_far = Window.partitionBy("mask_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("end_px", F.sum("n").over(so_far))
+    """Position, length and end of each run of a ``counts`` array. The running sum is made inside the array, before it is taken
+    apart, so nothing is shuffled."""
+    runs = masks.withColumn("__ends", _running_sums("counts"))
+    runs = runs.select(*[c for c in masks.columns if c != "counts"], F.posexplode(F.arrays_zip("counts", "__ends")).alias("pos", "__run"))
+    return runs.withColumns({"n": F.col("__run.counts"), "end_px": F.col("__run.__ends")}).drop("__run")
 
 
 def decode_runs(masks: DataFrame) -> DataFrame:

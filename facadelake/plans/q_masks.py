@@ -191,7 +191,7 @@ def lines(t, key: str):
     return t.defects.select(F.expr(f"{key}").alias("image_id"), *[F.expr(e).alias(n) for n, e in LINE.items()])
 
 
-sql_view("line_v", "SELECT inspection_id, inspection_id % 500 AS image_id, " + ", ".join(f"{e} AS {n}" for n, e in LINE.items()) + " FROM defects_v")
+sql_view("line_v", "SELECT inspection_id, CAST(floor(inspection_id / 30) AS BIGINT) AS image_id, " + ", ".join(f"{e} AS {n}" for n, e in LINE.items()) + " FROM defects_v")
 sql_view(
     "upright_v",
     """WITH RECURSIVE c AS (SELECT image_id, x, row_number() OVER (PARTITION BY image_id ORDER BY x) AS rn FROM (SELECT DISTINCT image_id, CAST(floor((x1 + x2) / 2.0) AS INT) AS x FROM line_v WHERE abs(x2 - x1) / 90.0 < 0.18) d),
@@ -207,7 +207,7 @@ sql_view(
        LEFT JOIN (SELECT image_id, median(gap) AS med, count(*) AS n FROM (SELECT image_id, x - lag(x) OVER (PARTITION BY image_id ORDER BY x) AS gap FROM upright_v) g GROUP BY 1 HAVING count(*) >= 2) s ON i.image_id = s.image_id""",
 )
 def _(t):
-    return masks.bar_spacing(lines(t, "inspection_id % 500"), 0.15).withColumn("spacing_cm", F.round("spacing_cm", 6))
+    return masks.bar_spacing(lines(t, "CAST(floor(inspection_id / 30) AS BIGINT)"), 0.15).withColumn("spacing_cm", F.round("spacing_cm", 6))
 
 
 sql_view(
@@ -223,7 +223,7 @@ sql_view(
          SELECT *, sqrt(((x1 + x2) / 2e0 - lag((x1 + x2) / 2e0) OVER w) ** 2 + ((y1 + y2) / 2e0 - lag((y1 + y2) / 2e0) OVER w) ** 2) AS gap FROM near_line_v WINDOW w AS (PARTITION BY image_id ORDER BY pos, line_id)) g GROUP BY 1 HAVING count(*) >= 2""",
 )
 def _(t):
-    return masks.parallel_bars(lines(t, "inspection_id % 500"), 1.5, by="image_id").withColumn("spacing_mm", F.round("spacing_mm", 5))
+    return masks.parallel_bars(lines(t, "CAST(floor(inspection_id / 30) AS BIGINT)"), 1.5, by="image_id").withColumn("spacing_mm", F.round("spacing_mm", 5))
 
 
 @query(

@@ -71,7 +71,7 @@ WHERE rn = 1
 """
 
 PIXELS = """
-SELECT DISTINCT CAST(l_orderkey % 100 AS INT) AS mask_id, CAST(l_partkey % 32 AS INT) AS x,
+SELECT DISTINCT CAST(floor(l_orderkey / 150) AS INT) AS mask_id, CAST(l_partkey % 32 AS INT) AS x,
        CAST((l_suppkey * 7 + l_linenumber) % 32 AS INT) AS y
 FROM {lineitem}
 """
