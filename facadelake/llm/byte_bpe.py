@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from facadelake.llm.common import flat, pieces
 from facadelake.llm.interning import Interner
@@ -36,7 +37,7 @@ SYM_OTHER, SYM_LETTER, SYM_NUMBER, SYM_WHITE, SYM_LAST_SPACE, SYM_LAST_WHITE, SY
 # States: what the pre-token that ends before a code point may still take.
 DONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 256
-CACHE = 600_000  # merged pre-tokens that a worker keeps
+CACHE = 400_000  # merged pre-tokens that a worker keeps
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -233,6 +234,31 @@ def decode_ids(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return pool[np.repeat(at[ids] - offsets[:-1], size) + np.arange(offsets[-1])], offsets
 
 
+def _encoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    ids, bounds = encoder(path).encode(*flat(batch.column("text")))
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
+    return pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    data, at = flat(batch.column("ids"))
+    ids, at = np.frombuffer(data.tobytes(), "<u4"), at // 4
+    out, offsets = decode_ids(ids, path)
+    ends = offsets[at]
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+    own = (offsets[:-1] - np.repeat(ends[:-1], np.diff(at))).astype("<u4")
+    places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 4), pa.py_buffer(own)])
+    return pa.record_batch([*batch.columns, text.cast(pa.binary()), places.cast(pa.binary())], [*batch.schema.names, "decoded", "offsets"])
+
+
+ENCODED = "doc_id long, n_tokens long, ids binary"
+DECODED = [T.StructField("decoded", T.BinaryType()), T.StructField("offsets", T.BinaryType())]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every row of ``docs (doc_id, text)``.
 
@@ -242,11 +268,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, bounds = encoder(path).encode(*flat(batch.column("text")))
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield _encoded(batch, path)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _texts(docs).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -255,16 +279,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "ids", 4 << 20):
-            data, at = flat(batch.column("ids"))
-            ids, at = data.view("<u4") if data.flags.aligned and len(data) % 4 == 0 else np.frombuffer(data.tobytes(), "<u4"), at // 4
-            out, offsets = decode_ids(ids, path)
-            ends = offsets[at]
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
-            own = (offsets[:-1] - np.repeat(ends[:-1], np.diff(at))).astype("<u4")
-            places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 4), pa.py_buffer(own)])
-            yield pa.record_batch([*batch.columns, text.cast(pa.binary()), places.cast(pa.binary())], [*batch.schema.names, "decoded", "offsets"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
-    return encoded.mapInArrow(run, schema)
+            yield _decoded(batch, path)
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, *DECODED]))
+
+
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs))`` by one worker, which saves the ids a way through the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield _decoded(_encoded(batch, path), path)
+
+    return _texts(docs).mapInArrow(run, ENCODED + ", decoded binary, offsets binary")

@@ -59,7 +59,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    out = byte_bpe.encode_decode(read(spark, sf_dir, "documents"), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -52,6 +52,7 @@ def test_ids_and_round_trip(spark):
         assert np.frombuffer(match[0].ids, "<u4").tolist() == ids and match[0].n_tokens == len(ids)
         want = np.cumsum([0] + [len(LIBRARY.decode_single_token_bytes(i)) for i in ids])[:-1].tolist()
         assert np.frombuffer(match[0].offsets, "<u4").tolist() == want
+    assert sorted(map(str, got)) == sorted(map(str, bpe.encode_decode(docs, PATH).collect()))
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
