@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the documents that are left, and digests of them and of what they decode to."""
     tune(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = byte_bpe.decode(byte_bpe.encode(docs, path), path)
+    out = byte_bpe.encode_decode(docs, path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
