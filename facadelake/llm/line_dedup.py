@@ -8,10 +8,8 @@ and taken out, with the blank lines inside them.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WINDOW = 3
 
@@ -52,19 +50,13 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return spans.select("key", F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["i"], s["j"]))))).alias("gone"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType())]))
-def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    """The texts without the lines whose numbers are given; null where there are none."""
-    out, counts = [], []
-    for t, g in zip(text, gone):
-        if g is None or t is None:
-            out.append(None)
-            counts.append(0)
-            continue
-        drop = set(g.tolist())
-        out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
-        counts.append(len(drop))
-    return pd.DataFrame({"text": out, "removed": counts})
+def merged_stretches(covered: DataFrame) -> DataFrame:
+    """``covered`` with ``first`` and ``last``: ends of the stretches without a gap that its line numbers make."""
+
+    def ends(step: int):
+        return F.filter("gone", lambda x, i: F.coalesce(F.get("gone", i + step) != x + step, F.lit(True)))
+
+    return covered.select("key", F.size("gone").alias("removed"), ends(-1).alias("first"), ends(1).alias("last"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -76,12 +68,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one occurrence and stay alike; rows of one ``doc_id`` with several texts are ordered by the text's
     hash; null ids come first. An empty table gives an empty result. All columns are kept.
     """
-    found = covered_lines(docs).select(F.col("key.doc_id").alias("_llm_doc"), F.col("key.t").alias("_llm_hash"), F.col("gone").alias("_llm_gone"))
+    found = merged_stretches(covered_lines(docs)).select(
+        F.col("key.doc_id").alias("_llm_doc"), F.col("key.t").alias("_llm_hash"), F.col("first").alias("_llm_first"), F.col("last").alias("_llm_last"), F.col("removed").alias("_llm_removed")
+    )
     same = F.coalesce(F.col("doc_id").eqNullSafe(F.col("_llm_doc")), F.lit(False)) & (F.xxhash64("text") == F.col("_llm_hash"))
-    joined = docs.join(found, same, "left")
-    cut = joined.withColumn("_llm_cut", _cut(F.when(F.col("_llm_gone").isNotNull(), F.col("text")), "_llm_gone"))
-    new = {"text": F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(F.col("_llm_cut.text"))}
+    concerned = F.col("_llm_first").isNotNull()
+    joined = docs.join(found, same, "left").withColumn("_llm_lines", F.when(concerned, F.split("text", "\n", -1)))
+
+    def between(k):
+        """The lines between the stretch before number k and that one."""
+        start = F.coalesce(F.get("_llm_last", k - 1) + 1, F.lit(0))
+        return F.slice("_llm_lines", start + 1, F.coalesce(F.get("_llm_first", k), F.size("_llm_lines")) - start)
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_llm_first")), between))
+    cut = joined.withColumn("_llm_text", F.when(concerned, F.array_join(left, "\n")).otherwise(F.col("text")))
+    new = {"text": F.col("_llm_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("_llm_cut.text")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(concerned, F.length("_llm_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     columns = [new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return cut.select(*columns, F.coalesce("_llm_cut.removed", F.lit(0)).cast("long").alias("n_lines_removed"))
+    return cut.select(*columns, F.coalesce("_llm_removed", F.lit(0)).cast("long").alias("n_lines_removed"))
