@@ -36,7 +36,7 @@ LEXICON = 300  # words per language
 ROUNDS, RATE, DECAY = 60, 0.1, 1e-5
 TRAIN_LENGTH = 48  # words of a training sequence
 BLOCK = 64  # words that step one by one
-CACHE = 500_000  # words whose scores a worker keeps
+CACHE = 150_000  # words whose scores a worker keeps
 UNKNOWN = "und"
 
 
@@ -262,7 +262,7 @@ class Labeller:
         return words, bounds, self.letters[at], posterior
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _labeller(shared) -> Labeller:
     return Labeller(shared.value)
 
