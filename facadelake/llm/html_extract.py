@@ -1,6 +1,6 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Tokens of a page are its structural elements, named by their path, and its text blocks, named by path and text hash.
+Tokens of a page are its structural elements, named by their path, and its text blocks, named by a hash of path and text.
 Over the pages of one host each token has an occurrence vector, its count on every page. Tokens with equal vectors are
 an equivalence class; vectors are compared by sums of hashes of (page, count), which Spark adds up map-side, so no
 page set is ever gathered. The class of elements that occur once on every page is the template's frame; classes with other
@@ -165,7 +165,7 @@ def parse(source: str) -> Page:
 
 
 def text_token(block: Block) -> str:
-    return f"{block.path}|{xxhash.xxh64_hexdigest(block.text.encode())}"
+    return xxhash.xxh64_hexdigest(f"{block.path}|{block.text}".encode())
 
 
 def host_of(url: str = "url") -> Column:
