@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from facadelake.session import work_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # A batch is handed to numpy in pieces of about this many bytes of text, one text at least.
-PIECE_BYTES = (2 << 20) - 1
+PIECE_BYTES = (1 << 20) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and its lineage ends there."""
     spark = df.sparkSession
     path = work_dir(spark, purpose)
-    df.write.parquet(path)
+    # The step's shuffle files, as large as its input, go with it; else the next step's would come on top of them.
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

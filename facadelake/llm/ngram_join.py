@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from facadelake.operators.components import connected_components
 LEAST_DIMS, MOST_DIMS = 64, 512
 BAND = 1.25  # ratio of the largest to the smallest set size that share a cutting into groups
 LEAF = 2048  # points in a leaf of a large cell
+ROUNDS = 4  # cells are met in so many rounds, each with a part of all cells: the disk holds the shuffle files of one round
 NODE = 32  # points in a node of the tree inside a task
 
 
@@ -214,18 +215,19 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def searched(members: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """Pairs ``(a, b)`` that R-trees over the cells let through; members ``(cell, rep, label, n, v)``.
+def searched(members: DataFrame, points: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Pairs ``(a, b)`` that R-trees over the cells let through; members ``(cell, rep, label)``, points ``(rep, n, v)``.
 
-    A pair is let through in the first of the cells that it shares. A cell above ``leaf`` members is cut into leaves by hash; a member goes to every pair of leaves that
-    its leaf is in.
+    A pair is let through in the first of the cells that it shares. A cell above ``leaf`` members is cut into leaves by hash; a
+    member goes to every pair of leaves that its leaf is in. Cells are searched in ``ROUNDS`` rounds, as a member's point goes along
+    into each of its cells.
     """
-    every = members.groupBy("rep").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    members = members.join(every, "rep")
+    members = written(members, "ngram-open")
+    own_cells = members.groupBy("rep").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     sizes = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("leaves"))
     placed = members.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("leaves")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).select(
-        "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "n", "label", "v", "cells"
+        "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label"
     )
 
     def pairs_of(group: list[tuple]) -> list[tuple]:
@@ -264,8 +266,12 @@ def searched(members: DataFrame, percent: int, leaf: int) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*set(out))], ["a", "b"])
 
-    dealt = placed.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = []
+    for i in range(ROUNDS):
+        some = placed.where(F.pmod("cell", F.lit(ROUNDS)) == i).join(points, "rep").join(own_cells, "rep")
+        some = some.select("cell", "p", "q", "own", "rep", "n", "label", "v", "cells").repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
+        found.append(written(some.mapInArrow(run, "a long, b long"), "ngram-found"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -301,8 +307,12 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int =
     classes = filled.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"))
     chosen = filled.join(classes.select(F.col("rep").alias("doc_id"), "n", "sig"), ["doc_id", "n", "sig"], "left_semi")
     members = chosen.select(F.col("doc_id").alias("rep"), F.explode("cells").alias("cell"))
-    shared = members.groupBy("cell").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("cell", "size")
-    met = written(members.join(shared, "cell"), "ngram-cells")
+    found = []
+    for i in range(ROUNDS):
+        some = members.where(F.pmod("cell", F.lit(ROUNDS)) == i)
+        shared = some.groupBy("cell").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("cell", "size")
+        found.append(written(some.join(shared, "cell"), "ngram-cells"))
+    met = reduce(DataFrame.unionByName, found)
     # A cell's pivot is its member with the most company in all its cells: what the others are copies of.
     rank = met.groupBy("rep").agg(F.sum("size").alias("company"))
     pivots = met.join(rank, "rep").groupBy("cell").agg(F.max(F.struct("company", -F.col("rep"), "rep"))["rep"].alias("pivot"))
@@ -318,7 +328,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int =
     # Cells whose members, besides the pivot that all were compared with, have several labels.
     others = placed.where("size > 2 AND rep <> pivot").select("cell", "rep").join(labels, "rep", "left").select("cell", "rep", F.coalesce("root", "rep").alias("label"))
     several = others.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell")
-    candidates = searched(others.join(several, "cell", "left_semi").distinct().join(points, "rep"), percent, leaf)
+    candidates = searched(others.join(several, "cell", "left_semi").distinct(), points, percent, leaf)
     second = written(verified(candidates.join(pairs, ["a", "b"], "left_anti"), shingles, percent).distinct(), "ngram-links")
     every = first.unionByName(second).select(F.lit(0).alias("all"), "a", "b")
     roots = connected_components(every, "all").select(F.col("node").alias("rep"), "root")
