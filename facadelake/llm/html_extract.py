@@ -8,8 +8,9 @@ vectors are nested in the frame's element that holds all their tokens, else they
 classes hold makes the slots: slots of links, of the same text everywhere, and text tokens of the frame are
 boilerplate, and the deepest frame element with nearly all of the varying text is the host's main region.
 
-A page is then read slot by slot: what its own markup says (article, navigation, forms, adverts, comments and so on) and
-what its host's template says. Hosts with few pages have no template; their pages' own markup decides.
+A page is then read slot by slot: what its host's template drops goes from every page, and its main region holds for every
+page. The page's own markup (article, main) confirms that, and decides where a host has no template: hosts with few pages, and pages
+of which the template leaves nothing, as copies of one page are. Navigation, forms, adverts, comments and so on always go.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from facadelake.llm.common import pieces
 
 LEAST_PAGES = 4  # of a host, for a template
-FRAME_TEXT_PAGES, FRAME_TEXT_SHARE = 10, 0.9  # a text block on so many pages and this share of all is the template's
+FRAME_TEXT_SHARE = 0.9  # a text block on this share of all pages is the template's
 SAME_TEXT = 0.05  # different texts per page of a slot, at most, for boilerplate
 LINK_SHARE = 0.6  # characters in links
 MAIN_SHARE = 0.8  # of the varying text, in the main region
@@ -258,7 +259,7 @@ def deduce(pages: int, tokens: list[dict]) -> tuple[str | None, set[str]]:
         own = sums[slot_of.get(s["token"], (s["token"], -1))]
         own[0] += s["chars"]
         own[1] += s["links"]
-    drop = {t["token"] for t in tokens if t["kind"] == "T" and pages >= FRAME_TEXT_PAGES and t["on"] >= FRAME_TEXT_SHARE * pages and t["most"] == 1}
+    drop = {t["token"] for t in tokens if t["kind"] == "T" and t["on"] >= FRAME_TEXT_SHARE * pages and t["most"] == 1}
     varying: list[tuple[str, int]] = []
     for s in slots:
         chars, links = sums[slot_of.get(s["token"], (s["token"], -1))]
@@ -279,14 +280,16 @@ def main_text(source: str, main: str | None = None, drop: set[str] | frozenset[s
     """Text of a page's article: its blocks, joined by blank lines."""
     blocks = [b for b in parse(source).blocks if not b.noise]
     inside = [b for b in blocks if b.main]
-    if inside:  # the page's own markup says where the article is
-        kept = [b for b in inside if text_token(b) not in drop]
-    else:
-        kept = [b for b in blocks if b.path not in drop and text_token(b) not in drop]
-        if main is not None and any(b.path == main or b.path.startswith(main + ">") for b in kept):
-            kept = [b for b in kept if b.path == main or b.path.startswith(main + ">")]
-        elif main is None:
-            kept = [b for b in kept if b.links <= LINK_SHARE * len(b.text)]
+    kept = [b for b in blocks if b.path not in drop and text_token(b) not in drop]
+    if main is not None and any(b.path == main or b.path.startswith(main + ">") for b in kept):
+        kept = [b for b in kept if b.path == main or b.path.startswith(main + ">")]
+    confirmed = [b for b in kept if b.main]
+    if confirmed:  # the page's own markup says the same
+        kept = confirmed
+    elif inside and (not kept or main is None):  # no template that leaves anything, as for copies of one page
+        kept = inside
+    elif main is None:
+        kept = [b for b in kept if b.links <= LINK_SHARE * len(b.text)]
     return "\n\n".join(b.text for b in kept)
 
 

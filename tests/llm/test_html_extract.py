@@ -57,3 +57,18 @@ def test_edges(spark):
     got = sorted(((r.page_id or 0, r.url or "", len(r.text)) for r in h.extract(docs).collect()))
     assert got == [(0, "http://a.example/y", 599_999), (1, "http://a.example/x", 0), (2, "", 0), (3, "no host", 3), (3, "no host", 3)]
     assert h.extract(docs.limit(0)).count() == 0
+
+
+def test_template_inside_article(spark):
+    """Boilerplate in the article goes by the host's template, on a host of six pages, too: a slogan, a list of links, one closing text."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for i in range(6):
+        body = [" ".join(f"w{rng.randrange(900)}" for _ in range(30)) for _ in range(3)]
+        links = "".join(f'<li><a href="/{j}">other{i}{j} piece</a></li>' for j in range(4))
+        rows.append((i, f"https://six.example.org/p{i}", f"<html><body><main><div class=a>Best site</div><article><h1>{body[0][:9]}</h1>{''.join(f'<p>{b}</p>' for b in body)}<ul>{links}</ul><p>Thank you all</p></article></main></body></html>"))
+        want[i] = "\n\n".join([body[0][:9].strip(), *body])
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in h.extract(docs).collect()} == want
+    copies = docs.where("page_id = 0").selectExpr("explode(sequence(1, 8)) AS page_id", "url", "html")
+    assert all(body in r.text for r in h.extract(copies.selectExpr("cast(page_id AS long) AS page_id", "url", "html")).collect() for body in want[0].split("\n\n"))
