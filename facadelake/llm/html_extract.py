@@ -1,9 +1,9 @@
 """Main text of web pages by template deduction from equivalence classes.
 
 Tokens of a page are its structural elements, named by their path, and its text blocks, named by a hash of path and text.
-Over the pages of one host each token has an occurrence vector, its count on every page. Tokens with equal vectors are
+Over the pages of one host that are built alike, a layout, each token has an occurrence vector, its count on every page. Tokens with equal vectors are
 an equivalence class; vectors are compared by sums of hashes of (page, count), which Spark adds up map-side, so no
-page set is ever gathered. The class of elements that occur once on every page is the template's frame; classes with other
+page set is ever gathered. The elements that occur once on nearly every page are the template's frame; classes with other
 vectors are nested in the frame's element that holds all their tokens, else they are invalid and say nothing. What the
 classes hold makes the slots: slots of links, of the same text everywhere, and text tokens of the frame are
 boilerplate, and the deepest frame element with nearly all of the varying text is the host's main region.
@@ -23,12 +23,14 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facadelake.llm.common import pieces
+from facadelake.llm.common import pieces, written
 
-LEAST_PAGES = 4  # of a host, for a template
+LEAST_PAGES = 4  # of a layout, for a template
+LAYOUTS = 16  # of a host, its largest ones, with a template of their own; the host's other pages share one
+FRAME_SHARE = 0.9  # an element that occurs once on this share of a layout's pages is of its frame
 FRAME_TEXT_SHARE = 0.9  # a text block on this share of all pages is the template's
 SAME_TEXT = 0.05  # different texts per page of a slot, at most, for boilerplate
 LINK_SHARE = 0.6  # characters in links
@@ -169,13 +171,19 @@ def text_token(block: Block) -> str:
     return xxhash.xxh64_hexdigest(f"{block.path}|{block.text}".encode())
 
 
+def layout_of(page: Page) -> int:
+    """Hash of the names of the elements right below the body and above: pages that share them are built alike."""
+    top = (path for path in page.elements if path.count(">") <= (3 if path.startswith(">html") else 1))
+    return xxhash.xxh64_intdigest("|".join(sorted(top)).encode()) >> 1 | 1  # never 0
+
+
 def host_of(url: str = "url") -> Column:
     """The host in lower case; pages without one are a host of their own address."""
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("")), F.col(url), F.lit(""))
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``(host, token, kind, n, h1, h2, chars, links, text)``: a row per page and token. ``kind`` is E for elements, T for text blocks, and
+    """``(host, layout, token, kind, n, h1, h2, chars, links, text)``: a row per page and token. ``kind`` is E for elements, T for text blocks, and
     S for the blocks right below an element together, with their characters, those in links and a hash of their text; ``h1``, ``h2``
     are hashes of page and count."""
 
@@ -184,6 +192,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for key, host, source in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html"))):
                 page = parse(source or "")
+                layout = layout_of(page)
                 slots: dict[str, list[Block]] = defaultdict(list)
                 rows = [("E", path, n, 0, 0, 0) for path, n in page.elements.items()]
                 texts: dict[str, int] = defaultdict(int)
@@ -197,46 +206,72 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     rows.append(("S", path, len(own), sum(len(b.text) for b in own), sum(b.links for b in own), whole))
                 for kind, token, n, chars, links, text in rows:
                     h = xxhash.xxh128_intdigest(f"{key}:{n}".encode())
-                    out.append((host, token, kind, n, h & 0x7FFFFFFF, (h >> 40) & 0x7FFFFFFF, chars, links, text))
-            columns = list(zip(*out)) if out else [[] for _ in range(9)]
-            kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 6]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["host", "token", "kind", "n", "h1", "h2", "chars", "links", "text"])
+                    out.append((host, layout, token, kind, n, h & 0x7FFFFFFF, (h >> 40) & 0x7FFFFFFF, chars, links, text))
+            columns = list(zip(*out)) if out else [[] for _ in range(10)]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["host", "layout", "token", "kind", "n", "h1", "h2", "chars", "links", "text"])
 
     rows = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), host_of().alias("host"), "html").where("html IS NOT NULL")
-    return rows.mapInArrow(run, "host string, token string, kind string, n long, h1 long, h2 long, chars long, links long, text long")
+    return rows.mapInArrow(run, "host string, layout long, token string, kind string, n long, h1 long, h2 long, chars long, links long, text long")
+
+
+def layout_sizes(pages: DataFrame) -> DataFrame:
+    """``(host, layout, pages)``: pages of every layout; pages without elements and text, as empty ones, don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            found = [(host, layout_of(page)) for host, page in zip(batch.column("host").to_pylist(), map(parse, batch.column("html").to_pylist())) if page.elements or page.blocks]
+            yield pa.record_batch([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["host", "layout"])
+
+    rows = pages.select(host_of().alias("host"), "html").where("html IS NOT NULL").mapInArrow(run, "host string, layout long")
+    return rows.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, main, drop)``: path of the main region (null if it isn't clear) and the boilerplate tokens of every host with enough pages.
+    """``(host, layout, pages, main, drop)``: path of the main region (null if it isn't clear) and the boilerplate tokens of every layout with
+    enough pages. A host's layouts beyond the ``LAYOUTS`` largest, and those with few pages, are taken together as its layout 0.
 
-    A host is one row of at most about twice as many tokens as a page has: those on half of its pages or more.
+    A layout is one row of a bounded number of tokens: text blocks on nearly all of its pages, other tokens on a tenth or more.
     """
-    counts = pages.where("html IS NOT NULL").select(host_of().alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    tokens = page_tokens(pages).groupBy("host", "kind", "token").agg(
-        F.count(F.lit(1)).alias("on"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("h1").alias("v1"), F.sum("h2").alias("v2"),
-        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.approx_count_distinct("text", 0.02).alias("texts"),
+    sizes = written(layout_sizes(pages), "layouts")
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("pages").desc(), "layout"))
+    large = sizes.where(F.col("pages") >= LEAST_PAGES).withColumn("_place", place).where(F.col("_place") <= LAYOUTS).drop("_place")
+    rest = sizes.join(large, ["host", "layout"], "left_anti").groupBy("host").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    counts = written(large.unionByName(rest.withColumn("layout", F.lit(0).cast("long"))), "templates")
+    enough = F.least(F.ceil(F.col("pages") / 2), F.greatest(F.lit(LEAST_PAGES), F.col("pages") / 10))
+    often = F.when(F.col("kind") == "T", F.col("on") >= FRAME_TEXT_SHARE * F.col("pages")).otherwise(F.col("on") >= enough)
+    tokens = page_tokens(pages).groupBy("host", "layout", "kind", "token").agg(
+        F.count(F.lit(1)).alias("on"), F.count_if(F.col("n") == 1).alias("once"), F.sum("h1").alias("v1"), F.sum("h2").alias("v2"),
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.approx_count_distinct("text", 0.02).alias("texts"), F.min("text").alias("lo"), F.max("text").alias("hi"),
     )
-    often = tokens.join(counts, "host").where("2 * on >= pages")
-    per_host = often.groupBy("host").agg(
-        F.first("pages").alias("pages"), F.collect_list(F.struct("kind", "token", "on", "least", "most", "v1", "v2", "chars", "links", "texts")).alias("tokens")
+    # Tokens of a layout with its own template are complete here; those of the others are added up to one.
+    own = counts.where("layout <> 0").withColumnRenamed("pages", "own_pages")
+    placed = tokens.join(own, ["host", "layout"], "left").withColumn("pages", F.col("own_pages")).where(F.col("pages").isNull() | often).drop("pages")
+    placed = placed.withColumn("layout", F.when(F.col("own_pages").isNull(), F.lit(0)).otherwise(F.col("layout")).cast("long"))
+    summed = placed.groupBy("host", "layout", "kind", "token").agg(
+        *(F.sum(c).alias(c) for c in ("on", "once", "v1", "v2", "chars", "links")), F.when(F.min("lo") == F.max("hi"), 1).otherwise(F.sum("texts")).cast("long").alias("texts")
     )
+    per_layout = summed.join(counts, ["host", "layout"]).where(often).groupBy("host", "layout").agg(
+        F.first("pages").alias("pages"), F.collect_list(F.struct("kind", "token", "on", "once", "v1", "v2", "chars", "links", "texts")).alias("tokens")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, mains, drops = [], [], []
-            for host, n, found in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "tokens"))):
+            mains, drops = [], []
+            for n, found in zip(*(batch.column(c).to_pylist() for c in ("pages", "tokens"))):
                 main, drop = deduce(n, found)
-                hosts.append(host), mains.append(main), drops.append(sorted(drop))
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(drops, pa.list_(pa.string()))], ["host", "main", "drop"])
+                mains.append(main), drops.append(sorted(drop))
+            own = [batch.column(c) for c in ("host", "layout", "pages")]
+            yield pa.record_batch([*own, pa.array(mains, pa.string()), pa.array(drops, pa.list_(pa.string()))], ["host", "layout", "pages", "main", "drop"])
 
-    return per_host.select("host", "pages", "tokens").mapInArrow(run, "host string, main string, drop array<string>")
+    return per_layout.select("host", "layout", "pages", "tokens").mapInArrow(run, "host string, layout long, pages long, main string, drop array<string>")
 
 
 def deduce(pages: int, tokens: list[dict]) -> tuple[str | None, set[str]]:
-    """Main region and boilerplate of one host from its frequent tokens."""
+    """Main region and boilerplate of one layout from its frequent tokens."""
     elements = {t["token"]: t for t in tokens if t["kind"] == "E"}
     slots = [t for t in tokens if t["kind"] == "S"]
-    frame = {path for path, t in elements.items() if t["on"] == pages and t["least"] == t["most"] == 1}
+    frame = {path for path, t in elements.items() if t["once"] >= FRAME_SHARE * pages}
     classes: dict[tuple, list[str]] = defaultdict(list)
     for path, t in elements.items():
         if path not in frame:
@@ -259,11 +294,11 @@ def deduce(pages: int, tokens: list[dict]) -> tuple[str | None, set[str]]:
         own = sums[slot_of.get(s["token"], (s["token"], -1))]
         own[0] += s["chars"]
         own[1] += s["links"]
-    drop = {t["token"] for t in tokens if t["kind"] == "T" and t["on"] >= FRAME_TEXT_SHARE * pages and t["most"] == 1}
+    drop = {t["token"] for t in tokens if t["kind"] == "T" and t["on"] >= FRAME_TEXT_SHARE * pages and t["once"] >= FRAME_TEXT_SHARE * pages}
     varying: list[tuple[str, int]] = []
     for s in slots:
         chars, links = sums[slot_of.get(s["token"], (s["token"], -1))]
-        same = s["on"] == pages and s["texts"] <= max(1, SAME_TEXT * pages)
+        same = s["on"] >= FRAME_SHARE * pages and s["texts"] <= max(1, SAME_TEXT * pages)
         if links > LINK_SHARE * chars or same:
             drop.add(s["token"])
         else:
@@ -278,17 +313,21 @@ def deduce(pages: int, tokens: list[dict]) -> tuple[str | None, set[str]]:
 
 def main_text(source: str, main: str | None = None, drop: set[str] | frozenset[str] = frozenset()) -> str:
     """Text of a page's article: its blocks, joined by blank lines."""
-    blocks = [b for b in parse(source).blocks if not b.noise]
+    return _main_text(parse(source), main, drop)
+
+
+def _main_text(page: Page, main: str | None, drop: set[str] | frozenset[str]) -> str:
+    blocks = [b for b in page.blocks if not b.noise]
     inside = [b for b in blocks if b.main]
     kept = [b for b in blocks if b.path not in drop and text_token(b) not in drop]
-    if main is not None and any(b.path == main or b.path.startswith(main + ">") for b in kept):
-        kept = [b for b in kept if b.path == main or b.path.startswith(main + ">")]
+    region = [b for b in kept if b.path == main or b.path.startswith(main + ">")] if main is not None else []
+    kept = region or kept
     confirmed = [b for b in kept if b.main]
     if confirmed:  # the page's own markup says the same
         kept = confirmed
-    elif inside and (not kept or main is None):  # no template that leaves anything, as for copies of one page
+    elif inside and not region:  # no template that leaves anything, as for copies of one page
         kept = inside
-    elif main is None:
+    elif not region:
         kept = [b for b in kept if b.links <= LINK_SHARE * len(b.text)]
     return "\n\n".join(b.text for b in kept)
 
@@ -302,8 +341,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            texts = [main_text(s or "", m, frozenset(d or ())) for s, m, d in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "drop")))]
+            texts = []
+            for source, dealt in zip(*(batch.column(c).to_pylist() for c in ("html", "dealt"))):
+                page = parse(source or "")
+                # A layout without a template is read by that of the small ones, or else of the host's largest.
+                by = {t["layout"]: t for t in dealt or ()}
+                own = by.get(layout_of(page)) or by.get(0) or max(by.values(), key=lambda t: (t["pages"], t["layout"]), default=None)
+                texts.append(_main_text(page, own["main"], frozenset(own["drop"])) if own else _main_text(page, None, frozenset()))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"))
-    return rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "main", "drop").mapInArrow(run, "page_id long, url string, text string")
+    dealt = templates(pages).groupBy("host").agg(F.collect_list(F.struct("layout", "pages", "main", "drop")).alias("dealt"))
+    return rows.join(dealt, "host", "left").select("page_id", "url", "html", "dealt").mapInArrow(run, "page_id long, url string, text string")

@@ -72,3 +72,25 @@ def test_template_inside_article(spark):
     assert {r.page_id: r.text for r in h.extract(docs).collect()} == want
     copies = docs.where("page_id = 0").selectExpr("explode(sequence(1, 8)) AS page_id", "url", "html")
     assert all(body in r.text for r in h.extract(copies.selectExpr("cast(page_id AS long) AS page_id", "url", "html")).collect() for body in want[0].split("\n\n"))
+
+
+def test_layouts(spark):
+    """Three layouts on one host, an empty page, and one page of another body class: each large layout keeps its template."""
+    rng = random.Random(7)
+    nav = [f"topic{j}" for j in range(9)]
+    bodies = [[" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(8, 60))) for _ in range(rng.randrange(1, 6))] for _ in range(60)]
+    rows = [(i, f"https://big.example.org/p{i}", page(rng, i, nav, b).replace("<body>", f'<body class="{"abc"[i % 3]}">')) for i, b in enumerate(bodies)]
+    rows += [(100, "https://big.example.org/e", ""), (101, "https://big.example.org/o", '<html><body class="z"><div>alone</div></body></html>')]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got.pop(100) == "" and got.pop(101) == "alone"
+    assert got == {i: "\n\n".join([b[0][:20].strip(), *b]) for i, b in enumerate(bodies)}
+
+
+def test_one_empty_page(spark):
+    """Text without telling names keeps its template beside an empty page and a page of few elements."""
+    rng = random.Random(9)
+    bodies = [[" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(3)] for _ in range(40)]
+    rows = [(i, f"https://plain.example.org/p{i}", page(rng, i, ["a", "b", "c", "d"], b)) for i, b in enumerate(bodies)]
+    rows += [(50, "https://plain.example.org/e", "")]
+    template = h.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(template) == 1 and template[0].pages == 40 and template[0].main.endswith("div.x")
