@@ -32,9 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring the domains to their target weights."""
+    """Documents as often as the rates say that bring the domains to their target weights; what is judged clean stays."""
     tune(spark)
-    return mixing.mixed(docs, read(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"), keep_clean=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

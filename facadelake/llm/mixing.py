@@ -25,6 +25,7 @@ BUCKETS = 1 << 14  # hashed words
 FIT_ROWS = 20_000  # labelled documents that the classifier learns from, about; chosen by the hash of their id
 SOFTNESS = 0.02  # share of the prior in every posterior
 STEPS, TOLERANCE, STALL = 40, 1e-7, 1e-6
+MOST_SCALE = 2.0  # all rates together are raised by this at most so that clean documents keep 1; what is still below 1 is set to it
 
 
 def _words(text: str | Column) -> Column:
@@ -158,27 +159,52 @@ def fit_rates(table: DataFrame, targets: dict[str, float] | None = None) -> list
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[Classifier, list[list[float]], DataFrame]:
+def corpus_targets(table: DataFrame, targets: dict[str, float] | None = None) -> dict[str, float]:
+    """Targets for ``table (n_tokens, p_<domain>...)`` by which ``high`` never falls: ``low`` and ``toxic`` get their target or, if that is
+    less, the share they have; ``high`` the rest."""
+    targets = targets or TARGETS
+    total = sum(targets.values())
+    row = table.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
+    found = {d: min(targets[d] / total, row[d] / row["n"]) if row["n"] else targets[d] / total for d in DOMAINS[1:]}
+    return {DOMAINS[0]: 1.0 - sum(found.values()), **found}
+
+
+def judged_clean() -> Column:
+    """Whether ``high`` is a document's likeliest domain."""
+    return (F.col("p_high") > F.col("p_low")) & (F.col("p_high") > F.col("p_toxic"))
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep_clean: bool = False) -> tuple[Classifier, list[list[float]], DataFrame]:
     """The classifier, the steps, and ``docs`` (without ``text``) with ``n_tokens``, posteriors and ``rate``.
 
     ``rate`` is the expected number of times a document is used. Null and empty texts have no tokens; their rate is that
     of the prior. Without labels every document has the posteriors of a uniform prior. Repeated rows each count. Targets
-    that no nonnegative rates meet are met as nearly as the metric allows.
+    that no nonnegative rates meet are met as nearly as the metric allows. ``keep_clean``: targets are those of ``corpus_targets``.
     """
     model = Classifier.fit(docs, labels)
     columns = [c for c in docs.columns if c != "text"]
     table = written(with_posteriors(docs, model).select(*columns, "n_tokens", *(f"p_{d}" for d in DOMAINS)), "mixing")
-    steps = fit_rates(table, targets)
+    steps = fit_rates(table, corpus_targets(table, targets) if keep_clean else targets)
     return model, steps, table.withColumn("rate", rate_of(steps))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def kept_rate(rated: DataFrame, steps: list[list[float]]) -> Column:
+    """Rates of ``steps``, raised together so that those of ``rated``'s clean documents are 1 at least; beyond ``MOST_SCALE`` each alone."""
+    least = rated.agg(F.min(F.when(judged_clean(), F.col("rate")))).first()[0]
+    scale = 1.0 if least is None or least >= 1 else min(MOST_SCALE, 1 / least) if least > 0 else MOST_SCALE
+    rate = rate_of(steps) * scale
+    return F.when(judged_clean(), F.greatest(F.lit(1.0), rate)).otherwise(rate)
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep_clean: bool = False) -> DataFrame:
     """``docs`` as often as their rates say: the whole part of the rate, and once more if a uniform number made of the row's
-    id and text is below the rest. Rates come from the row's own text, so texts aren't joined or shuffled."""
-    model, steps, _ = mixing_rates(docs.select("doc_id", "text"), labels, targets)
+    id and text is below the rest. Rates come from the row's own text, so texts aren't joined or shuffled. ``keep_clean``: no document
+    judged clean is drawn away, see ``corpus_targets`` and ``kept_rate``."""
+    model, steps, fitted = mixing_rates(docs.select("doc_id", "text"), labels, targets, keep_clean)
+    rate = kept_rate(fitted, steps) if keep_clean else rate_of(steps)
     rated = with_posteriors(docs.withColumns({f"_own{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}), model)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(rate_of(steps) + draw).cast("int")
+    times = F.floor(rate + draw).cast("int")
     # The observed totals also keep the optimizer from working posteriors out again for a filter on the rate.
     out = rated.withColumn("_times", times).observe("mixing", F.count(F.lit(1)).alias("rows"), F.sum("_times").alias("drawn"))
     out = out.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))

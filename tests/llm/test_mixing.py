@@ -86,3 +86,24 @@ def test_solve():
         b = [rng.random() for _ in range(3)]
         assert np.allclose(m.solve(g.tolist(), b), np.linalg.solve(g, b))
     assert m.solve([[2.0, 0.0], [0.0, 0.0]], [4.0, 5.0]) == [2.0, 0.0]
+
+
+@pytest.mark.parametrize("bad", [1, 12])
+def test_clean_stay(spark, bad):
+    """No document judged clean is drawn away, on a corpus above the targets (1 of 40 toxic) and on one below; bad domains don't rise."""
+    rng = random.Random(11)
+    rows, marks = [], []
+    for i in range(400):
+        toxic, low = i % 40 < bad, 30 < i % 40 < 31 + bad // 4
+        own = "venom" if toxic else "junk" if low else "fine"
+        words = [f"{own if rng.random() < 0.3 else 'any'}{rng.randrange(40)}" for _ in range(rng.randrange(3, 60))]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(not toxic and not low), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model, _, rated = m.mixing_rates(docs, labels)
+    clean = {r.doc_id for r in rated.where(m.judged_clean()).collect()}
+    out = m.mixed(docs, labels, keep_clean=True)
+    assert len(clean) > 200 and clean <= {r.doc_id for r in out.collect()}
+    shares = [x.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{d}")) / F.sum("n_tokens") for d in m.DOMAINS)).first() for x in (rated, m.with_posteriors(out, model))]
+    assert shares[1][0] >= shares[0][0] - 0.005 and shares[1][2] <= shares[0][2] + 0.005
