@@ -336,6 +336,41 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
+def class_links(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every link between different shingle sets, not only what joins components: ``(doc_id, n, sig)`` of the rows of ``docs (doc_id, text)``,
+    the classes of equal sets ``(n, sig, rep, members)``, and the pairs ``(a, b)`` of representatives that link.
+
+    ``doc_id`` is taken to be unique. All cells are searched, each member under a label of its own; so the work grows with the
+    number of links.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = written(sets(ids, k, percent), "ngram-sets")
+    filled = base.where("n > 0 AND doc_id IS NOT NULL")
+    classes = filled.groupBy("n", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    chosen = filled.join(classes.select(F.col("rep").alias("doc_id"), "n", "sig"), ["doc_id", "n", "sig"], "left_semi")
+    members = chosen.select(F.col("doc_id").alias("rep"), F.explode("cells").alias("cell"))
+    shared = members.groupBy("cell").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("cell")
+    met = members.join(shared, "cell", "left_semi").select("cell", "rep", F.col("rep").alias("label"))
+    candidates = written(searched(met, chosen.select(F.col("doc_id").alias("rep"), "n", "v"), percent, leaf), "ngram-pairs")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    shingles = written(shingle_table(ids.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), k), "ngram-shingles")
+    return base.select("doc_id", "n", "sig"), classes, written(verified(candidates, shingles, percent), "ngram-links")
+
+
+def ngram_links(docs: DataFrame, k: int = 3, percent: int = 90, leaf: int = LEAF) -> DataFrame:
+    """``(doc_id, n_shingles, n_links)`` of every row of ``docs (doc_id, text)``: how many other documents each links with.
+
+    Links are counted per class and weighted by members, so copies are never paired. Texts without shingles have none;
+    rows without ``doc_id`` are not counted, and have null.
+    """
+    base, classes, pairs = class_links(docs, k, percent, leaf)
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ways.join(classes.select(F.col("rep").alias("b"), "members"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("members").alias("others"))
+    counted = classes.join(others, "rep", "left").select("n", "sig", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    n_links = F.when(F.col("n") == 0, F.lit(0)).when(F.col("doc_id").isNotNull(), F.col("links")).cast("long")
+    return base.join(counted, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), n_links.alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each component does, the one with the smallest ``doc_id``.
 

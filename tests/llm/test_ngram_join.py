@@ -98,3 +98,22 @@ def test_words():
     begins, ends = sh.word_spans(data, offsets)
     assert [bytes(data[a:b]).decode() for a, b in zip(begins, ends)] == ["A", "b", "c", "D", "é", "É", "a\x00b", "\x1c", "c"]
     assert [len(s) for s in sh.shingle_sets(data, offsets, 3)] == [2, 0, 1, 0, 1]
+
+
+def test_every_link(spark):
+    """All links of edited copies, those that go through no pivot, too, against all pairs; copies and leaves of a large cell."""
+    rng = random.Random(21)
+    first = [f"w{rng.randrange(5000)}" for _ in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(first)
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(20)] + [(200, None), (201, "")]
+    found = {d: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for d, t in rows for w in [(t or "").split()]}
+    want = {d: sum(bool(s) and d != e and bool(t) and 100 * len(s & t) >= 90 * len(s | t) for e, t in found.items()) for d, s in found.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert max(want.values()) > 10
+    for leaf in (2048, 16):
+        assert {r.doc_id: r.n_links for r in nj.ngram_links(docs, 3, 90, leaf=leaf).collect()} == want
