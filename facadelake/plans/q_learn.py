@@ -73,11 +73,11 @@ _TRAINED: dict[tuple[str, str], tuple] = {}
 
 
 def trained(t):
-    """One model a session and folder for all queries of it; a small grid, as the queries say nothing about its quality."""
+    """One model a session and folder for all queries of it, by the operator's whole grid on all labelled rows."""
     key = (t.spark.sparkContext.applicationId, t.root)
     if key not in _TRAINED:
         standard, scaled = learn.standardize(t.features, "embedding")
-        _TRAINED[key] = (learn.train_filter(scaled, depths=(3,), trees=(5,), rates=(0.1,)), standard)
+        _TRAINED[key] = (learn.train_filter(scaled), standard)
     model, standard = _TRAINED[key]
     return model, standard.transform(t.features, "embedding", "scaled")
 
