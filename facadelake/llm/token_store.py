@@ -142,7 +142,8 @@ class WordEncoder:
         low = text.lower()
         if PLAIN.fullmatch(low) and "<|" not in low:
             return PART.findall(low)
-        return WORD.findall(low if "Σ" not in text and unicodedata.is_normalized("NFC", text) else text)
+        # Added tokens are found in the raw text, by case.
+        return WORD.findall(low if "<|" not in text and "Σ" not in text and unicodedata.is_normalized("NFC", text) else text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and where each text's begin (one more entry than texts)."""

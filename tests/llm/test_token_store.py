@@ -48,3 +48,11 @@ def test_ids_and_places(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     ts.write(docs.limit(0), str(tmp_path / "e"), PATH, 2, shards=4)
     assert ts.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_added_tokens_by_case():
+    """Names of added tokens in other letters are ordinary pieces, as the library has it."""
+    library, own = ts.tokenizer(PATH), ts.WordEncoder(PATH, 2)
+    for text in ("a <|ENDOFTEXT|> B", "x<|EndOfText|>y", "<|endoftext|> <|endofTEXT|>", "Plain <| Words", "<|STARTOFTEXT|>É"):
+        ids, _ = own.encode([text])
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
