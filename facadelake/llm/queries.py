@@ -136,3 +136,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counts_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_prefix_trie")
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations."""
+    from facadelake.llm import prefix_trie
+
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
