@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facadelake.llm import byte_bpe, fingerprints, html_extract, language_crf, mixing, ngram_join, quality_rules, token_counts, token_store
+from facadelake.llm import byte_bpe, fingerprints, html_extract, language_crf, license_scan, mixing, ngram_join, prefix_trie, quality_rules, token_counts, token_store, turn_repair
 from facadelake.llm import line_dedup as lines
 from facadelake.llm.common import read
 from facadelake.session import work_dir
@@ -141,6 +141,17 @@ def counts_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_prefix_trie")
 def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie over the rebuilt conversations."""
-    from facadelake.llm import prefix_trie
-
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op12_turn_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    audits, _ = turn_repair.repair(read(spark, sf_dir, "conversations"))
+    return audits
+
+
+@query("op13_license_scan")
+def license_scan_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license labels of every document."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))

@@ -36,9 +36,9 @@ def _powers(base: int, bits: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of every word; no word crosses a text's end."""
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -27,6 +27,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from facadelake.llm.common import written
 from facadelake.operators.hotkeys import ranked
@@ -179,13 +181,13 @@ def edited(letters: str, audit: str, state: int) -> list[tuple[int | None, str |
 
 def _mapped(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Rows ``fn(*row)`` of every row of ``df``, batch by batch."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in fn(*row)]
             for at in range(0, len(rows), 2000):
-                yield pa.record_batch([pa.array(x) for x in zip(*rows[at : at + 2000])], names)
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 2000]), arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -301,7 +303,7 @@ def repair(conversations: DataFrame, damage: Callable[[DataFrame], DataFrame] =
     ``damage`` makes the rows ``(cid, turn, role, text, copy)`` that are repaired. An audit has ``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit``
     and ``repaired_sha256``. Null roles, texts, turns and ids are one space; rows without id are one conversation, its ``conv_id`` is null.
     Null turns come first; rows of one turn are ordered by role and a digest, so repeated rows are neighbours and all but the first are
-    duplicates. A conversation without rows has zeros, an empty audit and the empty string's checksum. An empty table gives an
+    duplicates. A turn with an empty role has no initial and is never kept as it is. A conversation without rows has zeros, an empty audit and the empty string's checksum. An empty table gives an
     empty result. Other columns are not read.
     """
     rows = damage(conversations)

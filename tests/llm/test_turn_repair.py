@@ -57,7 +57,8 @@ def all_audits(turns, most):
             go(i + 1, cost + 3, audit + "D", out)
             if fault not in ("blank", "duplicate"):
                 t = fault == "truncated"
-                go(i + 1, cost + t, audit + "K", [*out, (role, text)])
+                if role:  # a turn without an initial is never kept
+                    go(i + 1, cost + t, audit + "K", [*out, (role, text)])
                 for new in ("user", "assistant"):
                     go(i + 1, cost + 2 + t, audit + "R", [*out, (new, text)])
 
