@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,13 +14,17 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facadelake.config import DEFAULTS
 
+from . import boosting
 from .hotkeys import ranked
 
+PART_ROWS = 50_000  # labelled rows a partition
+SEARCH_ROWS = 10_000  # labelled rows that a search sees at most; the model itself is fitted on all
+
 
 # --- features ---------------------------------------------------------------------------------------
 
@@ -119,26 +124,65 @@ def upsample_plan(df: DataFrame, label: str, id_col: str, target: int = DEFAULTS
 # --- the model --------------------------------------------------------------------------------------------
 
 
-def train_filter(df: DataFrame, features: str = "scaled", label: str = "y", id_col: str = "vec_id", depths: Sequence[int] = (3, 5, 7),
-                 trees: Sequence[int] = (100, 200, 300), rates: Sequence[float] = (0.01, 0.1, 0.2), forest: bool = False, seed: int = 42) -> PipelineModel:
-    """Boosted trees, positives weighted by the class ratio, the grid searched with stratified folds on F1."""
+def grid_figures(df: DataFrame, features: str, label: str, id_col: str, depths: Sequence[int], trees: Sequence[int], rates: Sequence[float], k: int,
+                 balance: Row, search_rows: int = SEARCH_ROWS) -> DataFrame:
+    """``(depth, trees, rate, f1)``: every grid point's mean over ``k`` stratified folds.
+
+    A depth, rate and fold is one fit, which has the figures of all numbers of trees, and one task (``boosting``). It sees ``search_rows`` rows at most, class
+    shares kept, picked by a hash of the id; with fewer labelled rows it sees all.
+    """
+    total = balance["positives"] + balance["negatives"]
+    share = min(1.0, search_rows / total)
+    most = F.when(F.col(label) == 1, F.lit(math.ceil(balance["positives"] * share))).otherwise(F.lit(math.ceil(balance["negatives"] * share)))
+    ratio = float(balance["imbalance_ratio"])
+    fits = [(d, float(r), i) for d in depths for r in rates for i in range(k)]
+    counts = [int(n) for n in trees]
+    sample = _by_hash(df.select(id_col, label, features), [label], id_col, "__r").where(F.col("__r") <= most)
+    each = sample.select(
+        F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1))).alias("fit"), F.col("__r").cast("long").alias("r"), (F.col(label) == 1).alias("y"), F.col(features).cast("array<double>").alias("x")
+    )
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["y", "r"])
+        depth, rate, i = fits[pdf["fit"].iloc[0]]
+        y = pdf["y"].to_numpy(bool)
+        cells = boosting.binned(np.stack(pdf["x"].to_numpy()))
+        figures = boosting.fold_figures(cells, y, np.where(y, ratio, 1.0), (pdf["r"].to_numpy() - 1) % k == i, depth, rate, counts)
+        return pd.DataFrame({"depth": depth, "trees": counts, "rate": rate, "f1": figures})
+
+    done = each.repartition(4 * len(fits), "fit").groupBy("fit").applyInPandas(one, "depth int, trees int, rate double, f1 double")
+    return done.groupBy("depth", "trees", "rate").agg(F.avg("f1").alias("f1"))
+
+
+def train_filter(df: DataFrame, features: str = "scaled", label: str = "y", id_col: str = "vec_id", depths: Sequence[int] = (3, 5, 7), trees: Sequence[int] = (100, 200, 300),
+                 rates: Sequence[float] = (0.01, 0.1, 0.2), forest: bool = False, seed: int = 42, search_rows: int = SEARCH_ROWS) -> PipelineModel:
+    """Boosted trees, positives weighted by the class ratio, the grid searched with stratified folds on F1; equal figures: the first of the grid.
+
+    The best point's model is fitted on all rows. A round of boosting is a Spark job per level of a tree, so rows are dealt into as few
+    partitions as ``PART_ROWS`` allows: small sets pay for one task a job, large ones spread.
+    """
     balance = class_balance(df, label).first()
     k = min(5, max(2, min(balance["positives"], balance["negatives"])))
     weight = F.when(F.col(label) == 1, F.lit(float(balance["imbalance_ratio"]))).otherwise(1.0)
     rows = stratified_folds(df, label, id_col, k).select(
-        F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("vector"), weight.alias("weight"), "fold"
+        F.col(label).cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("vector"), weight.alias("weight"), "fold", F.col(id_col).alias("__id")
     )
-    if forest:
-        base = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", seed=seed)
-        grid = ParamGridBuilder().addGrid(base.maxDepth, list(depths)).addGrid(base.numTrees, list(trees)).build()
-    else:
-        base = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", seed=seed)
-        grid = ParamGridBuilder().addGrid(base.maxDepth, list(depths)).addGrid(base.maxIter, list(trees)).addGrid(base.stepSize, list(rates)).build()
-    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-    search = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=k, foldCol="fold", parallelism=2, seed=seed)
-    rows = rows.persist()
+    parts = -(-(balance["positives"] + balance["negatives"]) // PART_ROWS)
+    rows = rows.repartition(parts, "__id").sortWithinPartitions("__id").drop("__id").persist()
     try:
-        return PipelineModel([search.fit(rows).bestModel])
+        if forest:
+            base = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", seed=seed)
+            grid = ParamGridBuilder().addGrid(base.maxDepth, list(depths)).addGrid(base.numTrees, list(trees)).build()
+            judge = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
+            search = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=k, foldCol="fold", parallelism=2, seed=seed)
+            return PipelineModel([search.fit(rows).bestModel])
+        figures = {(r["depth"], r["trees"], r["rate"]): r["f1"] for r in grid_figures(df, features, label, id_col, depths, trees, rates, k, balance, search_rows).collect()}
+        depth, n, rate = max(((d, n, float(r)) for d in depths for n in trees for r in rates), key=figures.get)
+        base = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", seed=seed, maxDepth=depth, maxIter=n, stepSize=rate)
+        return PipelineModel([base.fit(rows)])
     finally:
         rows.unpersist()
 

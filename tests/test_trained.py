@@ -1,21 +1,73 @@
-"""The training queries' model comes from the operator's whole grid."""
+"""The training queries' model: the whole grid is searched, fits in tasks follow the rules of Spark's boosted trees."""
 
+import itertools
 from types import SimpleNamespace
 
-from pyspark.ml.tuning import CrossValidator
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from facadelake.operators import boosting, learn
 from facadelake.plans import q_learn
 
 
-def test_whole_grid(spark, monkeypatch):
-    """All 27 points reach the search, once for all queries of a session; the fit itself is left out."""
-    grids = []
-    monkeypatch.setattr(CrossValidator, "fit", lambda self, rows: grids.append(self.getEstimatorParamMaps()) or SimpleNamespace(bestModel="model"))
-    features = spark.range(20).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("int").alias("y"), F.array(F.col("id") * 1.0, F.col("id") % 3 * 1.0).alias("embedding"))
+@pytest.fixture(scope="module")
+def some(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(160, 4)).round(3)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(scale=0.5, size=160) > 0.2).astype(int)
+    return spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (r, c) in enumerate(zip(x, y))], "vec_id long, y int, embedding array<double>"), x, y
+
+
+def test_whole_grid(spark, some, monkeypatch):
+    """All 27 points are searched, once for all queries of a session, and the best one is fitted on all rows."""
+    fitted = []
+    monkeypatch.setattr(learn, "GBTClassifier", lambda **kw: SimpleNamespace(fit=lambda rows: fitted.append((kw, rows.count())) or SimpleNamespace()))
+    monkeypatch.setattr(learn, "PipelineModel", lambda stages: stages[0])
     monkeypatch.setattr(q_learn, "_TRAINED", {})
-    t = SimpleNamespace(spark=spark, root="own", features=features)
+    t = SimpleNamespace(spark=spark, root="own", features=some[0].limit(60))
     model, scaled = q_learn.trained(t)
-    assert q_learn.trained(t)[0] is model and len(grids) == 1 and scaled.count() == 20
-    values = [{p.name: v for p, v in point.items()} for point in grids[0]]
-    assert {(v["maxDepth"], v["maxIter"], v["stepSize"]) for v in values} == {(d, n, r) for d in (3, 5, 7) for n in (100, 200, 300) for r in (0.01, 0.1, 0.2)}
+    assert q_learn.trained(t)[0] is model and len(fitted) == 1 and scaled.count() == 60
+    _, scaled = learn.standardize(t.features, "embedding")
+    grid = ((3, 5, 7), (100, 200, 300), (0.01, 0.1, 0.2))
+    figures = {tuple(r)[:3]: r["f1"] for r in learn.grid_figures(scaled, "scaled", "y", "vec_id", *grid, 5, learn.class_balance(scaled).first()).collect()}
+    assert set(figures) == set(itertools.product(*grid))
+    kw, n = fitted[0]
+    best = (kw["maxDepth"], kw["maxIter"], kw["stepSize"])
+    assert n == 60 and best == max(itertools.product(*grid), key=figures.get)
+
+
+def test_as_spark(spark, some):
+    """Margins of a fit in a task against Spark's own trees, with few values, so that bins are the same."""
+    df, x, y = some
+    coarse = np.round(x * 2) / 2
+    rows = spark.createDataFrame([([float(v) for v in r], float(c), 1.0 + 2 * int(c)) for r, c in zip(coarse, y)], "x array<double>, label double, weight double")
+    rows = rows.select(array_to_vector("x").alias("vector"), "label", "weight").repartition(1)
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxDepth=3, maxIter=15, stepSize=0.1, seed=42).fit(rows)
+    told = {(tuple(r["vector"].toArray()), r["label"]): r["rawPrediction"][1] for r in model.transform(rows).collect()}
+    cells, sign, weight, margin = boosting.binned(coarse), np.where(y == 1, 1.0, -1.0), 1.0 + 2 * y, np.zeros(len(y))
+    for m in range(15):
+        target = sign if m == 0 else 4 * sign / (1 + np.exp(2 * sign * margin))
+        margin += boosting.tree(cells, target, weight, 3, 32) * (1.0 if m == 0 else 0.1)
+    theirs = np.array([told[tuple(float(v) for v in r), float(c)] for r, c in zip(coarse, y)])
+    assert np.mean((theirs > 0) == (margin > 0)) >= 0.97 and np.corrcoef(theirs, margin)[0, 1] > 0.98
+
+
+def test_fewer_rounds(some):
+    """The figures of fewer trees are those of a fit that stops there; held-out rows change no tree."""
+    _, x, y = some
+    cells, held_out, weight = boosting.binned(x), np.arange(160) % 5 == 0, np.ones(160)
+    each = [boosting.fold_figures(cells, y == 1, weight, held_out, 3, 0.1, [n])[0] for n in (5, 20, 40)]
+    assert boosting.fold_figures(cells, y == 1, weight, held_out, 3, 0.1, [5, 20, 40]) == each
+    other = np.where(held_out, 1 - y, y) == 1
+    a, b = (boosting.tree(cells, np.where(t, 1.0, -1.0), np.where(held_out, 0.0, weight), 3, 32) for t in (y == 1, other))
+    assert (a == b).all()
+
+
+def test_bound_and_shares(spark, some):
+    """A search of 40 of 160 rows keeps the class shares; a model can be trained on it."""
+    _, scaled = learn.standardize(some[0], "embedding")
+    model = learn.train_filter(scaled, depths=[2], trees=[2, 4], rates=[0.1], search_rows=40)
+    assert model.stages[0].getNumTrees in (2, 4) and learn.score(model, scaled).where(F.col("predicted").isNull()).count() == 0
