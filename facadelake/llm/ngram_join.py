@@ -13,8 +13,8 @@ How pairs meet without comparing all with all, and without losing one:
   empty (see ``n_groups``). The hash of a group's content is a cell; pairs meet in cells.
 * In every cell each member is compared with one pivot: linear, whatever the cell's size.
   What links is labelled by connected component. Cells whose members still have different labels are
-  searched as R-trees; pairs with equal labels need no search, as their component is known. A large cell
-  is cut into leaves, and pairs of leaves are spread over tasks.
+  searched as R-trees of several levels; pairs with equal labels need no search, as their component is
+  known. A large cell is cut into leaves, and pairs of leaves are spread over tasks.
 """
 
 from __future__ import annotations
@@ -38,7 +38,10 @@ LEAST_DIMS, MOST_DIMS = 64, 512
 BAND = 1.25  # ratio of the largest to the smallest set size that share a cutting into groups
 LEAF = 2048  # points in a leaf of a large cell
 ROUNDS = 4  # cells are met in so many rounds, each with a part of all cells: the disk holds the shuffle files of one round
-NODE = 32  # points in a node of the tree inside a task
+NODE = 32  # points in a lowest node of the tree inside a task
+FAN = 8  # nodes in a node above those
+OPEN = 64  # pairs of nodes opened at a time
+TRIED = 4096  # pairs of nodes or points whose bounds are worked out at a time
 
 
 def links(shared, size_a, size_b, percent: int):
@@ -157,44 +160,68 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
     return vector.reshape(-1, size).sum(0) if len(vector) > size else vector
 
 
+def grown(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """Levels of a tree over points in the order it is loaded with, the root's last; level 0 are the points.
+
+    A node of level 1 holds ``NODE`` points that follow each other, one of a higher level ``FAN`` nodes of the level below. Each node
+    has the greatest count per coordinate and the range of sizes, labels and sides.
+    """
+    levels = [{"most": points, "low": sizes, "high": sizes, "first": labels, "last": labels, "near": side, "far": side}]
+    while len(levels[-1]["low"]) > 1:
+        below, width = levels[-1], NODE if len(levels) == 1 else FAN
+        cuts = np.arange(0, len(below["low"]), width)
+        least = {k: np.minimum.reduceat(below[k], cuts) for k in ("low", "first", "near")}
+        levels.append(least | {k: np.maximum.reduceat(below[k], cuts, axis=0) for k in ("most", "high", "last", "far")})
+    return levels
+
+
+def may_link(level: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int, across: bool) -> np.ndarray:
+    """Whether the nodes ``a`` and ``b`` of a level can hold a pair with different labels, and of both sides if ``across``, that links."""
+    low, high = level["low"], level["high"]
+    ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+    ok &= (level["first"][a] != level["last"][b]) | (level["last"][a] != level["first"][b])
+    if across:
+        ok &= (level["near"][a] != level["far"][b]) | (level["far"][a] != level["near"][b])
+    at = np.nonzero(ok)[0]
+    bound = np.minimum(level["most"][a[at]], level["most"][b[at]]).sum(1, dtype=np.int64)
+    ok[at] = bound >= least_shared(low[a[at]] + low[b[at]], percent)
+    return ok
+
+
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points with different labels whose bounds allow a link.
 
-    Points are packed by label, size and their widest coordinates into nodes with least and most counts. A
-    node pair is opened only if the sum of the smaller of its most counts reaches what its least sizes
-    demand. ``side``: 0 and 1 are the leaves of a pair of leaves and only pairs across count; if all are
-    0, all pairs do.
+    Points are packed by side, label, size and their widest coordinates into the nodes of a tree of several levels, which is searched
+    against itself from the root: a pair of nodes is opened only if the sum of the smaller of their most counts reaches what their
+    least sizes demand. Pairs of nodes wait on a stack and are opened ``OPEN`` at a time, so memory is bounded by the depth. ``side``:
+    0 and 1 are the leaves of a pair of leaves and only pairs across count; if all are 0, all pairs do.
     """
-    spread = points.var(0).argsort()[::-1][:2] if len(points) else []
+    if len(points) < 2:
+        return
+    spread = points.var(0).argsort()[::-1][:2]
     order = np.lexsort([*(points[:, c] for c in spread), (np.log(np.maximum(sizes, 1)) * 20).astype(int), labels, side])
-    cuts = np.arange(0, len(order), NODE)
-    nodes = [order[c : c + NODE] for c in cuts]
-    most = np.array([points[i].max(0) for i in nodes])
-    low, high = np.array([sizes[i].min() for i in nodes]), np.array([sizes[i].max() for i in nodes])
-    first = np.array([labels[i].min() for i in nodes])
-    same = np.array([labels[i].max() for i in nodes]) == first
-    across = side.any()
-    sides_low, sides_high = np.array([side[i].min() for i in nodes]), np.array([side[i].max() for i in nodes])
-    for a in range(len(nodes)):
-        rest = np.arange(a, len(nodes))
-        bound = np.minimum(most[a], most[rest]).sum(1, dtype=np.int64)
-        ok = bound >= least_shared(low[a] + low[rest], percent)
-        ok &= (100 * high[a] >= percent * low[rest]) & (100 * high[rest] >= percent * low[a])
-        ok &= ~(same[a] & same[rest] & (first[a] == first[rest]))
-        if across:
-            ok &= (sides_low[a] != sides_high[rest]) | (sides_high[a] != sides_low[rest])
-        for b in rest[ok]:
-            i, j = nodes[a], nodes[b]
-            overlap = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2, dtype=np.int64)
-            good = overlap >= least_shared(sizes[i][:, None] + sizes[j][None, :], percent)
-            good &= labels[i][:, None] != labels[j][None, :]
-            if across:
-                good &= side[i][:, None] != side[j][None, :]
-            if a == b:
-                good &= np.triu(np.ones_like(good), 1)
-            x, y = np.nonzero(good)
-            if len(x):
-                yield i[x], j[y]
+    across = bool(side.any())
+    levels = grown(points[order], sizes[order], labels[order], side[order])
+    root = np.zeros(1, np.int64)
+    waiting = [(len(levels) - 1, root, root)]
+    while waiting:
+        depth, a, b = waiting.pop()
+        if len(a) > OPEN:
+            waiting.append((depth, a[OPEN:], b[OPEN:]))
+            a, b = a[:OPEN], b[:OPEN]
+        width, below = NODE if depth == 1 else FAN, levels[depth - 1]
+        step = np.arange(width)
+        x = (a[:, None, None] * width + step[None, :, None] + np.zeros((1, 1, width), np.int64)).ravel()
+        y = (b[:, None, None] * width + step[None, None, :] + np.zeros((1, width, 1), np.int64)).ravel()
+        # Nodes meet themselves, points do not.
+        kept = (y < len(below["low"])) & (x < len(below["low"])) & ((x < y) if depth == 1 else (x <= y))
+        x, y = x[kept], y[kept]
+        found = np.concatenate([may_link(below, x[c : c + TRIED], y[c : c + TRIED], percent, across) for c in range(0, len(x), TRIED)] or [np.zeros(0, bool)])
+        x, y = x[found], y[found]
+        if len(x) and depth == 1:
+            yield order[x], order[y]
+        elif len(x):
+            waiting.append((depth - 1, x, y))
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -215,6 +242,20 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def not_shared(cells: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sorted lists ``i`` and ``j`` of ``cells``, which ``at`` cuts into lists, have no value in common, pair by pair."""
+    out = np.ones(len(i), bool)
+    order = np.argsort(i, kind="stable")
+    bounds = np.nonzero(np.diff(i[order], prepend=-1, append=-1))[0]
+    for low, high in zip(bounds, bounds[1:]):
+        mine = cells[at[i[order[low]]] : at[i[order[low]] + 1]]
+        for one in order[low:high] if len(mine) else ():
+            other = cells[at[j[one]] : at[j[one] + 1]]
+            place = np.searchsorted(mine, other)
+            out[one] = not (mine[np.minimum(place, len(mine) - 1)] == other).any()
+    return out
+
+
 def searched(members: DataFrame, points: DataFrame, percent: int, leaf: int) -> DataFrame:
     """Pairs ``(a, b)`` that R-trees over the cells let through; members ``(cell, rep, label)``, points ``(rep, n, v)``.
 
@@ -230,46 +271,52 @@ def searched(members: DataFrame, points: DataFrame, percent: int, leaf: int) ->
         "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label"
     )
 
-    def pairs_of(group: list[tuple]) -> list[tuple]:
-        if len(group) < 2:
-            return []
-        own, ids, sizes_, labels = (np.array(x) for x in zip(*((g[3], g[4], g[5], g[6]) for g in group)))
-        vectors = [unpacked(g[7]) for g in group]
-        size = min(map(len, vectors))
-        points = np.array([fold(v, size) for v in vectors])
-        points = points.astype(np.uint16 if points.max() < 1 << 16 else np.int64)
-        side = (own != group[0][1]).astype(int) if group[0][1] != group[0][2] else np.zeros(len(own), int)
-        cell, cells = group[0][0], [set(g[8]) for g in group]
-        found = []
+    def pairs_of(group: pa.Table) -> np.ndarray:
+        """The pairs of a cell or of two of its leaves, one a row."""
+        cell, p, q = (group[c][0].as_py() for c in ("cell", "p", "q"))
+        ids, sizes_, labels = (group[c].to_numpy() for c in ("rep", "n", "label"))
+        counts = group["v"].to_pylist()
+        size = min((len(v) - 1) // v[0] for v in counts)
+        points = np.array([fold(unpacked(v), size).astype(np.uint32) for v in counts])
+        side = (group["own"].to_numpy() != p).astype(int) if p != q else np.zeros(len(ids), int)
+        earlier = group["earlier"].combine_chunks()
+        at, cells = earlier.offsets.to_numpy(), earlier.values.to_numpy()
+        found = [np.zeros((0, 2), np.int64)]
         for i, j in tree_pairs(points, sizes_, labels, side, percent):
-            found += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(i, j) if min(cells[x] & cells[y]) == cell]
-        return found
+            fresh = not_shared(cells, at, i, j)
+            found.append(np.sort(np.column_stack([ids[i[fresh]], ids[j[fresh]]]), axis=1))
+        return np.concatenate(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[tuple]]:
-            group: list[tuple] = []
+        def groups() -> Iterator[pa.Table]:
+            parts: list[pa.RecordBatch] = []
+            last = None
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if group and row[:3] != group[0][:3]:
-                        yield group
-                        group = []
-                    group.append(row)
-            if group:
-                yield group
-
-        out: list[tuple] = []
+                if not batch.num_rows:
+                    continue
+                keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cell", "p", "q")])
+                cuts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1).tolist(), len(keys)]
+                for low, high in zip(cuts, cuts[1:]):
+                    key = keys[low].tolist()
+                    if parts and key != last:
+                        yield pa.Table.from_batches(parts)
+                        parts = []
+                    last = key
+                    parts.append(batch.slice(low, high - low))
+            if parts:
+                yield pa.Table.from_batches(parts)
+
         for group in groups():
-            out += pairs_of(group)
-            if len(out) > 10_000:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*set(out))], ["a", "b"])
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*set(out))], ["a", "b"])
+            if group.num_rows > 1:
+                found = np.unique(pairs_of(group), axis=0)
+                if len(found):
+                    yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     found = []
     for i in range(ROUNDS):
         some = placed.where(F.pmod("cell", F.lit(ROUNDS)) == i).join(points, "rep").join(own_cells, "rep")
-        some = some.select("cell", "p", "q", "own", "rep", "n", "label", "v", "cells").repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
+        earlier = F.slice("cells", F.lit(1), (F.array_position("cells", F.col("cell")) - 1).cast("int")).alias("earlier")
+        some = some.select("cell", "p", "q", "own", "rep", "n", "label", "v", earlier).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
         found.append(written(some.mapInArrow(run, "a long, b long"), "ngram-found"))
     return reduce(DataFrame.unionByName, found).distinct()
 
