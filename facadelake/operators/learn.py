@@ -65,6 +65,30 @@ def reduce_pca(df: DataFrame, col: str, k: int = 128, out: str = "reduced", fit:
     return model, model.transform(vectors).withColumn(out, vector_to_array("__p")).drop("__v", "__p")
 
 
+def pca_report(df: DataFrame, col: str, k: int) -> DataFrame:
+    """One row on a reduction to ``k`` components, worked out from the reduced rows: the table's number of dimensions and total variance,
+    whether the components' variances fall, whether no component goes together with the next, and whether they hold the share of the variance that the model says.
+    """
+    model, reduced = reduce_pca(df, col, k)
+    said = float(sum(model.explainedVariance.toArray()))
+    dims = df.select(F.posexplode(F.col(col).cast("array<double>")).alias("dim", "x")).groupBy("dim").agg(F.var_samp("x").alias("v"))
+    whole = dims.agg(F.count(F.lit(1)).cast("int").alias("dims"), F.sum("v").alias("total"))
+    parts = [F.col("reduced")[i] for i in range(k)]
+    variances = [F.var_samp(p) for p in parts]
+    # Each component against the next, the last against the first.
+    pairs = [(i, (i + 1) % k) for i in range(k)] if k > 1 else []
+    together = [F.abs(F.covar_samp(parts[i], parts[j])) for i, j in pairs]
+    kept = reduced.agg(F.array(*variances).alias("v"), F.array(*together, F.lit(0.0)).alias("c"))
+    both = whole.crossJoin(F.broadcast(kept))  # one row each
+    power = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    slack = F.col("total") * 1e-6
+    falling = F.forall(F.sequence(F.lit(1), F.lit(max(1, k - 1))), lambda i: F.coalesce(F.get("v", i) <= F.get("v", i - 1) + slack, F.lit(True)))
+    return both.select(
+        "dims", F.round("total", 6).alias("total_variance"), falling.alias("falling"), F.forall("c", lambda x: x <= slack).alias("uncorrelated"),
+        (F.abs(power - F.col("total") * said) <= slack).alias("share_kept"),
+    )
+
+
 # --- folds and balance ---------------------------------------------------------------------------------
 
 

@@ -59,6 +59,17 @@ def _(t):
     return reduced.select("vec_id", F.size("reduced").alias("dims"), F.round(F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x), 4).alias("power"))
 
 
+@query(
+    "l2_pca_variance",
+    """SELECT CAST(count(*) AS INT) AS dims, round(sum(var_samp), 6) AS total_variance, true AS falling, true AS uncorrelated, true AS share_kept
+       FROM (SELECT dim, var_samp(x) AS var_samp FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM features_v) u GROUP BY dim) v""",
+)
+def _(t):
+    """A quarter of the components: their variances fall, add up to the model's share of the table's, and they are uncorrelated."""
+    width = t.features.select(F.size("embedding")).first()[0]
+    return learn.pca_report(t.features, "embedding", max(1, width // 4))
+
+
 @query(
     "l3_assemble_vector",
     "SELECT vec_id, CAST(len(embedding) * 2 + 2 AS INT) AS dims, round(list_sum(embedding::DOUBLE[]) * 2 + vec_id % 7 + y, 4) AS total FROM features_v",

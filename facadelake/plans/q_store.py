@@ -219,6 +219,13 @@ def _(t):
     return listing.page_defects(rows, "severity", page=2, size=500)[0].select("defect_id", "area_px2")
 
 
+@query("k2_deep_page", "SELECT defect_id, area_cm2 AS area_px2 FROM defects_v ORDER BY area_cm2 DESC NULLS LAST, defect_id LIMIT 200 OFFSET 3000")
+def _(t):
+    """A page as a deep one is read: by the ranges it lies in."""
+    rows = t.defects.withColumn("area_px2", F.col("area_cm2"))
+    return listing.page_defects(rows, "area", page=16, size=200, shallow=0)[0].select("defect_id", "area_px2")
+
+
 @query("k3_latest_inspections", "SELECT inspection_id, building_id FROM inspections_v ORDER BY inspection_date DESC, inspection_id DESC LIMIT 200")
 def _(t):
     return listing.latest_inspections(heads(t), limit=1000).select("inspection_id", "building_id")
