@@ -117,3 +117,25 @@ def test_every_link(spark):
     assert max(want.values()) > 10
     for leaf in (2048, 16):
         assert {r.doc_id: r.n_links for r in nj.ngram_links(docs, 3, 90, leaf=leaf).collect()} == want
+
+
+@pytest.mark.parametrize("n,sides", [(0, 1), (1, 1), (33, 1), (2500, 1), (700, 2)])
+def test_tree_of_several_levels(n, sides):
+    """The tree lets through just the pairs whose bounds allow a link, each once, whatever its depth."""
+    rng = np.random.default_rng(n)
+    points = rng.poisson(rng.choice([0.4, 1, 3], (n, 1)) * np.ones((1, 64))).astype(np.uint32)
+    if n > 10:
+        points[n // 2 :] = points[: n - n // 2] + (rng.random((n - n // 2, 64)) < 0.03).astype(np.uint32)
+    sizes, labels = points.sum(1).astype(np.int64), rng.integers(0, 9, n)
+    side = rng.integers(0, sides, n)
+    want = set()
+    for i in range(n):
+        j = np.arange(i + 1, n)
+        good = np.minimum(points[i], points[j]).sum(1) >= nj.least_shared(sizes[i] + sizes[j], 90)
+        # Sets that link are not too unlike in size, whatever they share.
+        good &= (labels[i] != labels[j]) & (100 * sizes[i] >= 90 * sizes[j]) & (100 * sizes[j] >= 90 * sizes[i])
+        good &= (side[i] != side[j]) | (sides == 1)
+        want |= {(i, int(x)) for x in j[good]}
+    got = [(int(min(x, y)), int(max(x, y))) for a, b in nj.tree_pairs(points, sizes, labels, side, 90) for x, y in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert n < 700 or want
